@@ -27,7 +27,7 @@ from inkstone.llm.common import cut, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2.0, "mix-1"
-LEVELS, BITS = 4, 12
+LEVELS, BITS, SALTS = 4, 12, 32
 
 
 def size_of(text: Column) -> Column:
@@ -67,9 +67,15 @@ def order_hash(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, LEVELS * BITS // 4), 16, 10).cast("long")
 
 
-def shares(df: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole repetitions the mix takes), one row per row of ``df``."""
-    sizes = cut(df.select("doc_id", "source", size_of(F.col("text").cast("string")).alias("size"), order_hash(seed).alias("h")))
+def by_source(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """Joins a row a source (its key is ``s``) to (source, h, ...) rows; a hot source is spread over ``SALTS`` tasks."""
+    small = small.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.pmod("h", F.lit(SALTS)).cast("int") == F.col("salt"))
+    return rows.join(small, same).drop("s", "salt")
+
+
+def plan(sizes: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """s (a source), source_size, target, whole, rest, last from (source, size, h) rows: documents with h up to ``last`` are taken once more."""
     goal = targets(sizes, share, max_epochs)
     # whole repetitions, and the words still wanted of one more
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int"))
@@ -77,10 +83,8 @@ def shares(df: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
     # by source: the hash prefix in which the wanted words end; what lies below it is taken
     at = goal.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("below"))
     for k in range(1, LEVELS + 1):
-        shift = (LEVELS - k) * BITS
-        bucket = F.shiftright("h", shift)
-        inside = sizes.withColumn("b", bucket).join(at.select(F.col("source").alias("s"), "prefix"), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("b", BITS) == F.col("prefix")))
-        sums = inside.groupBy("source", "b").agg(F.sum("size").alias("n"))
+        inside = by_source(sizes, at.select(F.col("source").alias("s"), "prefix")).withColumn("b", F.shiftright("h", (LEVELS - k) * BITS))
+        sums = inside.where(F.shiftright("b", BITS) == F.col("prefix")).groupBy("source", "b").agg(F.sum("size").alias("n"))
         run = Window.partitionBy("source").orderBy("b")  # at most 4,096 rows a source
         sums = sums.withColumn("to", F.sum("n").over(run)).select(F.col("source").alias("s"), "b", "n", "to")
         hit = sums.join(at.select("source", "rest", "below"), F.col("s").eqNullSafe(F.col("source"))).where(F.col("below") + F.col("to") > F.col("rest"))
@@ -93,9 +97,29 @@ def shares(df: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
     # the document at the cut is taken too if that comes nearer the target
     last = F.when(F.col("below") + F.col("n") - F.col("rest") < F.col("rest") - F.col("below"), F.col("prefix")).otherwise(F.col("prefix") - 1)
     ends = at.select(F.col("source").alias("s"), last.alias("last"))
-    goal = goal.join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
-    extra = (F.col("h") <= F.col("last")) & (F.col("rest") > 0)
-    return sizes.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra.cast("int")).alias("copies"))
+    return cut(goal.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "whole", "rest", "last"))
+
+
+def measured(df: DataFrame, seed: str = SEED) -> DataFrame:
+    return cut(df.select("doc_id", "source", size_of(F.col("text").cast("string")).alias("size"), order_hash(seed).alias("h")))
+
+
+def copies() -> Column:
+    return F.col("whole") + ((F.col("h") <= F.col("last")) & (F.col("rest") > 0)).cast("int")
+
+
+def shares(df: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (repetitions the mix takes), one row per row of ``df``."""
+    sizes = measured(df, seed)
+    return by_source(sizes, plan(sizes, share, max_epochs)).select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"))
+
+
+def mix(df: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: rows of ``df``, each as often as the mix takes it."""
+    goal = plan(measured(df, seed), share, max_epochs)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), "source", order_hash(seed).alias("h"))
+    taken = by_source(rows, goal).select("row", copies().alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,12 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Machine:
     return train(docs, labels)
 
 
+def accepted(df: DataFrame, machine: Machine, least: float = THRESHOLD) -> DataFrame:
+    """Rows of ``df`` whose text scores ``least`` or more, columns as they were."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return score(rows, machine).where(F.col("score") >= least).select("row.*")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     s = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), trained(spark, docs, sf_dir))

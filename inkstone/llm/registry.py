@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkstone.llm import bpe, mixing, quality_classifier, quality_rules, transport_stream
+from inkstone.llm import bpe, byte_dedup, class_lm, html_extract, mixing, order_minhash, quality_classifier, quality_rules, sentence_dedup, transport_stream
 
-MODULES = (bpe, quality_rules, transport_stream, mixing, quality_classifier)
+MODULES = (bpe, quality_rules, html_extract, sentence_dedup, transport_stream, mixing, class_lm, quality_classifier, order_minhash, byte_dedup)
 
 
 def queries() -> dict:
