@@ -1,15 +1,497 @@
-"""All queries of the summarization engine by name."""
+"""All queries of the summarization engine by name, each with its SQL twin where SQL has one."""
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from inkstone.functions import text as T
+from inkstone.functions import vectors as V
+from inkstone.operators import corpus as C
+from inkstone.operators import evaluation as E
+from inkstone.operators import scoring as G
+from inkstone.operators import selection as S
+from inkstone.operators import wmd as W
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def _sents(spark, d) -> DataFrame:
+    return C.sentences(_docs(spark, d))
+
+
+def _scores(spark, d) -> DataFrame:
+    """(doc_id, sent_idx, sent, tfidf, pos, score): the deterministic score behind selection queries."""
+    s = _sents(spark, d)
+    t = C.terms(s)
+    vocab = C.vocabulary(t, _docs(spark, d).count())
+    x = C.tfidf_sum(s, t, vocab).join(C.position(s), ["doc_id", "sent_idx"])
+    return x.join(s, ["doc_id", "sent_idx"]).withColumn("score", G.linear_proxy())
+
+
+def _labels(spark, d) -> DataFrame:
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    ref = C.sentences(b).select((F.col("doc_id") * 1000 + F.col("sent_idx")).alias("ref_idx"), "sent")
+    return C.labels(_sents(spark, d), ref)
+
+
+# ---- SQL building blocks -------------------------------------------------
+_STOP = "(" + ", ".join("'" + w + "'" for w in T.STOPWORDS) + ")"
+_CLEAN = r"regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g')"
+_SPLIT = rf"list_filter(list_transform(string_split(regexp_replace({_CLEAN}, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: length(x) > 0)"
+_S = f"s AS (SELECT doc_id, unnest(range(len(p)))::INT AS sent_idx, unnest(p) AS sent FROM (SELECT doc_id, {_SPLIT} AS p FROM documents))"
+_TOK = r"list_filter(regexp_split_to_array(lower(sent), '[^\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z]{2,}$') AND x NOT IN " + _STOP + ")"
+_TOKA = r"list_filter(regexp_split_to_array(lower(sent), '[^\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[\p{L}\p{N}]+$') AND x NOT IN " + _STOP + ")"
+_T = f"t AS (SELECT doc_id, sent_idx, term, count(*) AS tf FROM (SELECT doc_id, sent_idx, unnest({_TOK}) AS term FROM s) GROUP BY ALL)"
+_N = "n AS (SELECT count(*) AS n FROM documents)"
+_VOC = "v AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df, sum(tf) AS cf FROM t GROUP BY term), n WHERE df >= 5 AND df <= 0.85 * n ORDER BY cf DESC, term LIMIT 50000)"
+_TS = "ts AS (SELECT s.doc_id, s.sent_idx, s.sent, round(coalesce(x, 0), 6) AS tfidf FROM s LEFT JOIN (SELECT doc_id, sent_idx, sum((1 + ln(tf)) * idf) / sqrt(sum(((1 + ln(tf)) * idf) ** 2)) AS x FROM t JOIN v USING (term) GROUP BY ALL) w USING (doc_id, sent_idx))"
+_SC = "sc AS (SELECT *, round(tfidf - 0.5 * pos, 6) AS score FROM (SELECT *, round(sent_idx / count(*) OVER (PARTITION BY doc_id), 6) AS pos, count(*) OVER (PARTITION BY doc_id) AS m FROM ts))"
+_BUD = "greatest(3, round_even(0.05::DOUBLE * m, 0)::INT)"
+_RK = f"rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_idx DESC) AS rn, {_BUD} AS k FROM sc)"
+_BASE = f"WITH {_S}"
+_SCORED = f"WITH {_S}, {_T}, {_N}, {_VOC}, {_TS}, {_SC}, {_RK}"
+_ROUGE = rf"""a AS (SELECT doc_id, sent_idx, unnest(list_filter(regexp_split_to_array(lower(sent), '[^a-z0-9]+'), lambda x: length(x) > 0)) AS tok FROM s),
+bs AS (SELECT item_id, unnest(range(len(p))) AS i, unnest(p) AS sent FROM (SELECT item_id, {_SPLIT} AS p FROM benchmark)),
+b AS (SELECT item_id * 1000 + i AS ref_idx, unnest(list_filter(regexp_split_to_array(lower(sent), '[^a-z0-9]+'), lambda x: length(x) > 0)) AS tok FROM bs),
+ca AS (SELECT doc_id, sent_idx, tok, count(*) AS c FROM a GROUP BY ALL), cb AS (SELECT ref_idx, tok, count(*) AS c FROM b GROUP BY ALL),
+na AS (SELECT doc_id, sent_idx, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT ref_idx, count(*) AS n FROM b GROUP BY ALL),
+h AS (SELECT doc_id, sent_idx, ref_idx, sum(least(ca.c, cb.c)) AS hits FROM ca JOIN cb USING (tok) WHERE tok NOT IN {_STOP} GROUP BY ALL),
+f AS (SELECT h.doc_id, h.sent_idx, ref_idx, 2.0::DOUBLE * hits / (na.n + nb.n) AS f1 FROM h JOIN nb USING (ref_idx) JOIN na USING (doc_id, sent_idx)),
+y AS (SELECT s.doc_id, s.sent_idx, round(coalesce(f1, 0), 6) AS y, coalesce(ref_idx, -1) AS match_idx FROM s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY f1 DESC, ref_idx) AS r FROM f) q ON s.doc_id = q.doc_id AND s.sent_idx = q.sent_idx AND r = 1)"""
+
+
+# ---- sentences, tokens, text ---------------------------------------------
+@query(f"{_BASE} SELECT doc_id, sent_idx, length(sent)::INT AS n_chars FROM s")
+def sentences(spark, d):
+    return _sents(spark, d).select("doc_id", "sent_idx", F.length("sent").alias("n_chars"))
+
+
+@query(f"{_BASE} SELECT doc_id, sent_idx, round(sent_idx / count(*) OVER (PARTITION BY doc_id), 6) AS pos FROM s")
+def position(spark, d):
+    return C.position(_sents(spark, d))
+
+
+def _tokens(tok):
+    def run(spark, d):
+        x = _docs(spark, d).withColumn("toks", tok(F.coalesce("text", F.lit(""))))
+        return x.select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.size(F.array_distinct("toks")).cast("long").alias("n_distinct"))
+
+    return run
+
+
+for _name, _f, _q in (("tokens_a", T.tokens_a, _TOKA), ("tokens_b", T.tokens_b, _TOK)):
+    QUERIES[_name] = _tokens(_f)
+    SQL[_name] = f"SELECT doc_id, len(x)::BIGINT AS n_tokens, len(list_distinct(x))::BIGINT AS n_distinct FROM (SELECT doc_id, {_q.replace('sent', 'coalesce(text, chr(32))')} AS x FROM documents)"
+
+
+@query(r"""SELECT doc_id, ((length(p) - length(replace(p, '<PERIOD>', ''))) / 8)::BIGINT AS n_placeholders, length(replace(p, '<PERIOD>', '.'))::BIGINT AS n_restored
+FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\b(\d{1,2}(?:/\d{1,2})?)\.(\d{1,2})\.\s*(\d{2,4})\b', '\1<PERIOD>\2<PERIOD>\3', 'g'), '([0-9]+)\.([0-9]+)', '\1<PERIOD>\2', 'g') AS p FROM documents)""")
+def protect_dates_decimals(spark, d):
+    p = T.protect_decimals(T.protect_dates(F.coalesce("text", F.lit(""))))
+    x = _docs(spark, d).withColumn("p", p)
+    return x.select("doc_id", ((F.length("p") - F.length(F.replace("p", F.lit(T.DOT), F.lit("")))) / 8).cast("long").alias("n_placeholders"), F.length(T.restore(F.col("p"))).cast("long").alias("n_restored"))
+
+
+@query()
+def legal_sentences(spark, d):
+    """ST8/ST9: look-ahead, which the SQL engine's patterns lack."""
+    x = _docs(spark, d).withColumn("p", T.legal_sentences(F.col("text")))
+    return x.select("doc_id", F.size("p").cast("long").alias("m"), F.md5(F.array_join("p", "\n")).alias("digest"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f]+'), lambda x: length(x) > 0))::BIGINT AS n_words FROM documents")
+def word_count(spark, d):
+    return _docs(spark, d).select("doc_id", T.word_count(F.coalesce("text", F.lit(""))).cast("long").alias("n_words"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(x) > 110 THEN left(x, 107) || '...' ELSE x END AS short FROM (
+SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g'), '[\r\n]', ' ', 'g') AS x FROM documents)""")
+def ellipsis(spark, d):
+    return _docs(spark, d).select("doc_id", T.ellipsis(F.coalesce("text", F.lit(""))).alias("short"))
+
+
+@query(f"{_BASE} SELECT doc_id, sent_idx, len(regexp_extract_all(sent, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*'))::BIGINT AS ner_proxy FROM s")
+def ner_proxy(spark, d):
+    return _sents(spark, d).select("doc_id", "sent_idx", T.ner_proxy(F.col("sent")).cast("long").alias("ner_proxy"))
+
+
+@query()
+def entities_proxy(spark, d):
+    return _docs(spark, d).select("doc_id", F.explode(T.entities_proxy(F.col("text"))).alias("e")).select("doc_id", "e.text", "e.label")
+
+
+@query(rf"""SELECT doc_id, f <> '' AND f NOT IN ('in', 'the', 'this', 'an', 'cross', 'first', 'second', 'leave') AS truncated,
+regexp_matches(left(t, 3000), '[^\p{{L}}\p{{N}}_ \t\n\r\f.,;:?!''"]{{3,}}') AS symbols, regexp_matches(left(t, 3000), '(?:^|\n)[ \t\n\r\f]*(?:[a-zA-Z][ \t\n\r\f]+){{4,}}[a-zA-Z]') AS spaced
+FROM (SELECT doc_id, coalesce(text, '') AS t, lower(regexp_extract(left(coalesce(text, ''), 3000), '(?:^|\n)[ \t\n\r\f]*([a-z]{{1,5}})[ \t\n\r\f]+(?:{'|'.join(T.OCR_NOUNS)})\b', 1)) AS f FROM documents)""")
+def ocr_regex(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return _docs(spark, d).select("doc_id", T.ocr_truncated(t).alias("truncated"), T.ocr_symbols(t).alias("symbols"), T.ocr_spaced(t).alias("spaced"))
+
+
+@query("SELECT doc_id, " + " OR ".join(f"contains(coalesce(text, ''), '{m}')" for m in T.OCR_MARKERS) + " AS marked FROM documents")
+def ocr_marker(spark, d):
+    return _docs(spark, d).select("doc_id", T.ocr_marker(F.coalesce("text", F.lit(""))).alias("marked"))
+
+
+# ---- audits ----------------------------------------------------------------
+@query(f"{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1) SELECT CASE WHEN m < 20 THEN 'short' WHEN m <= 500 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n_docs, sum(m)::BIGINT AS n_sents, min(m) AS least, max(m) AS most, round(avg(m), 6) AS mean, sum(CASE WHEN m < 20 OR m > 500 THEN 1 ELSE 0 END)::BIGINT AS flagged FROM m GROUP BY 1")
+def doc_audit(spark, d):
+    m = C.sizes(_sents(spark, d))
+    return m.groupBy(T.length_bucket(F.col("m")).alias("bucket")).agg(F.count("*").alias("n_docs"), F.sum("m").alias("n_sents"), F.min("m").alias("least"), F.max("m").alias("most"), F.round(F.avg("m"), 6).alias("mean"), F.sum((T.audit_flag(F.col("m")) != "ok").cast("long")).alias("flagged"))
+
+
+@query(f"{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM m) SELECT " + ", ".join(f"max(m) FILTER (i = floor(n * {p})) AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM o")
+def length_percentiles(spark, d):
+    return E.floor_percentiles(C.sizes(_sents(spark, d)), "m", [0.25, 0.5, 0.75, 0.95, 0.99])
+
+
+@query(f"{_BASE} SELECT doc_id, count(*) AS m FROM s GROUP BY 1 ORDER BY m DESC, doc_id LIMIT 10")
+def longest_docs(spark, d):
+    return C.sizes(_sents(spark, d)).orderBy(F.desc("m"), "doc_id").limit(10)
+
+
+@query(f"{_BASE} SELECT doc_id, sent_idx, left(sent, 150) || ' ... ' || right(sent, 80) AS snippet FROM s WHERE length(sent) > 500 ORDER BY doc_id, sent_idx LIMIT 100")
+def long_sentences(spark, d):
+    s = _sents(spark, d).where(F.length("sent") > 500).orderBy("doc_id", "sent_idx").limit(100)
+    return s.select("doc_id", "sent_idx", T.snippet(F.col("sent")).alias("snippet"))
+
+
+@query(f"""{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1)
+SELECT * FROM (SELECT 'short' AS pick, doc_id, m FROM m WHERE m < 20 ORDER BY m, doc_id LIMIT 1) UNION ALL
+SELECT * FROM (SELECT 'medium', doc_id, m FROM m WHERE m BETWEEN 70 AND 110 ORDER BY abs(m - 83), doc_id LIMIT 1) UNION ALL
+SELECT * FROM (SELECT 'long', doc_id, m FROM m WHERE m > 500 ORDER BY m DESC, doc_id LIMIT 1)""")
+def example_picks(spark, d):
+    m = C.sizes(_sents(spark, d))
+    pick = lambda name, cond, *by: m.where(cond).orderBy(*by, "doc_id").limit(1).select(F.lit(name).alias("pick"), "doc_id", "m")
+    return pick("short", "m < 20", "m").union(pick("medium", "m between 70 and 110", F.abs(F.col("m") - 83))).union(pick("long", "m > 500", F.desc("m")))
+
+
+@query("SELECT CASE WHEN o THEN 'marked' ELSE 'plain' END AS grp, count(*) AS n, sum(z)::BIGINT AS oov, round(100.0::DOUBLE * sum(z) / count(*), 6) AS pct FROM (" + f"""{_BASE}, {_T}, {_N}, {_VOC}, k AS (SELECT DISTINCT doc_id, sent_idx FROM t JOIN v USING (term)),
+o AS (SELECT doc_id, {" OR ".join(f"contains(coalesce(text, ''), '{m}')" for m in T.OCR_MARKERS)} AS o FROM documents)
+SELECT o.o, CASE WHEN k.doc_id IS NULL THEN 1 ELSE 0 END AS z FROM s JOIN o USING (doc_id) LEFT JOIN k ON s.doc_id = k.doc_id AND s.sent_idx = k.sent_idx) GROUP BY 1""")
+def oov_rate(spark, d):
+    s = _sents(spark, d)
+    t = C.terms(s)
+    known = t.join(F.broadcast(C.vocabulary(t, _docs(spark, d).count())), "term", "left_semi").select("doc_id", "sent_idx", F.lit(0).alias("k")).distinct()
+    o = _docs(spark, d).select("doc_id", F.when(T.ocr_marker(F.coalesce("text", F.lit(""))), "marked").otherwise("plain").alias("grp"))
+    x = s.select("doc_id", "sent_idx").join(known, ["doc_id", "sent_idx"], "left").join(o, "doc_id")
+    z = F.col("k").isNull().cast("long")
+    return x.groupBy("grp").agg(F.count("*").alias("n"), F.sum(z).alias("oov"), F.round(100.0 * F.sum(z) / F.count("*"), 6).alias("pct"))
+
+
+# ---- features ----------------------------------------------------------------
+@query(f"{_BASE}, {_T}, {_N}, {_VOC} SELECT term, df, round(idf, 6) AS idf FROM v")
+def vocab_df(spark, d):
+    return C.vocabulary(C.terms(_sents(spark, d)), _docs(spark, d).count()).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"{_BASE}, {_T}, {_N}, {_VOC}, {_TS} SELECT doc_id, sent_idx, tfidf FROM ts")
+def tfidf_sum(spark, d):
+    s = _sents(spark, d)
+    t = C.terms(s)
+    return C.tfidf_sum(s, t, C.vocabulary(t, _docs(spark, d).count()))
+
+
+@query(f"""{_BASE}, {_T}, {_N}, {_VOC}, dt AS (SELECT doc_id, term, sum(tf) AS tf FROM t GROUP BY ALL),
+w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM dt JOIN v USING (term)), u AS (SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 4) AS w FROM w)
+SELECT doc_id, rank, term, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM u) WHERE rank <= 10""")
+def top_terms(spark, d):
+    t = C.terms(_sents(spark, d))
+    doc = t.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).withColumn("sent_idx", F.lit(0))
+    w = C.tfidf(doc, C.vocabulary(t, _docs(spark, d).count())).withColumn("w", F.round("w", 4))
+    by = S.Window.partitionBy("doc_id").orderBy(F.desc("w"), "term")
+    return w.withColumn("rank", F.row_number().over(by)).where("rank <= 10").select("doc_id", "rank", "term", "w")
+
+
+_HV = "[" + ", ".join(f"('0x' || substr(md5(word), {4 * i + 1}, 4))::INT / 32767.5 - 1.0" for i in range(8)) + "]::DOUBLE[]"
+_WV = f"wt AS (SELECT doc_id, sent_idx, word, {_HV} AS v FROM (SELECT doc_id, sent_idx, unnest({_TOKA}) AS word FROM s)), sv AS (SELECT doc_id, sent_idx, [" + ", ".join(f"avg(v[{i}])" for i in range(1, 9)) + "] AS v FROM wt GROUP BY ALL)"
+
+
+@query(f"{_BASE}, {_WV}, c AS (SELECT doc_id, [" + ", ".join(f"avg(v[{i}])" for i in range(1, 9)) + "] AS c FROM sv GROUP BY 1) SELECT doc_id, sent_idx, round(coalesce(list_cosine_similarity(v, c), 0), 6) AS cos FROM sv JOIN c USING (doc_id)")
+def w2v_sentence_cosine(spark, d):
+    return C.centroid_cosine(C.sentence_vectors(_sents(spark, d)), "doc_id", "sent_idx", "vec", V.DIM)
+
+
+def _emb(normalize: bool) -> str:
+    part = "embedding[{i}] / sqrt(list_dot_product(embedding, embedding))" if normalize else "embedding[{i}]"
+    mean = ", ".join("avg(" + part.format(i=i) + ")" for i in range(1, 65))
+    return f"WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings), c AS (SELECT label, [{mean}] AS c FROM e GROUP BY 1) SELECT label, vec_id, round(list_cosine_similarity(embedding, c), 6) AS cos FROM e JOIN c USING (label)"
+
+
+@query(_emb(False))
+def centroid_cosine(spark, d):
+    return C.centroid_cosine(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "vec_id", "embedding", 64)
+
+
+@query(_emb(True))
+def centroid_cosine_unit(spark, d):
+    return C.centroid_cosine(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "vec_id", "embedding", 64, normalize=True)
+
+
+# ---- labels ------------------------------------------------------------------
+@query(f"{_BASE}, {_ROUGE} SELECT * FROM y")
+def rouge_label(spark, d):
+    return _labels(spark, d).withColumn("match_idx", F.col("match_idx").cast("long"))
+
+
+@query(f"{_BASE}, {_ROUGE} SELECT count(*) AS n, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std, min(y) AS least, round(quantile_cont(y, 0.5), 6) AS median, round(quantile_cont(y, 0.75), 6) AS p75, round(quantile_cont(y, 0.9), 6) AS p90, max(y) AS most FROM y")
+def label_stats(spark, d):
+    q = lambda p: F.round(F.expr(f"percentile(y, {p})"), 6)
+    return _labels(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.round(F.stddev_pop("y"), 6).alias("std"), F.min("y").alias("least"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.max("y").alias("most"))
+
+
+# ---- selection -----------------------------------------------------------------
+@query(f"{_BASE} SELECT doc_id, m, {_BUD} AS k FROM (SELECT doc_id, count(*) AS m FROM s GROUP BY 1)")
+def budget(spark, d):
+    return C.sizes(_sents(spark, d)).withColumn("k", T.budget(F.col("m")))
+
+
+@query(f"{_SCORED} SELECT doc_id, sent_idx, rn FROM rk WHERE rn <= k")
+def topk(spark, d):
+    return S.top_k(_scores(spark, d))
+
+
+_MMR = """WITH RECURSIVE e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, ((vec_id * 7919) % 1009) / 1009.0::DOUBLE AS score FROM embeddings),
+c AS (SELECT label, greatest(3, round_even(0.05::DOUBLE * count(*), 0)::INT) AS k FROM e GROUP BY 1),
+r AS (
+  SELECT label, 1 AS step, list(vec_id ORDER BY score DESC, vec_id)[1:1] AS picked FROM e GROUP BY label
+  UNION ALL
+  SELECT label, step + 1, list_append(picked, nxt) FROM (
+    SELECT r.label, r.step, r.picked, (SELECT x.vec_id FROM e x WHERE x.label = r.label AND NOT list_contains(r.picked, x.vec_id)
+      ORDER BY {lam} * x.score - (1 - {lam}) * (SELECT max(list_cosine_similarity(x.v, y.v)) FROM e y WHERE y.label = r.label AND list_contains(r.picked, y.vec_id)) DESC, x.vec_id LIMIT 1) AS nxt
+    FROM r JOIN c ON r.label = c.label WHERE r.step < least(c.k, (SELECT count(*) FROM e z WHERE z.label = r.label)))),
+l AS (SELECT label, max(step) AS step FROM r GROUP BY 1)
+SELECT label, unnest(range(1, len(picked) + 1))::INT AS step, unnest(picked) AS vec_id, false AS under_filled FROM r JOIN l USING (label, step)"""
+
+
+def _mmr(lam: float):
+    def run(spark, d):
+        e = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("score", F.pmod(F.col("vec_id") * 7919, F.lit(1009)) / 1009.0)
+        return S.mmr_select(e, "label", "vec_id", "score", "embedding", lam)
+
+    return run
+
+
+for _lam in (0.3, 0.5, 0.7, 0.9):
+    QUERIES[f"mmr_select_{int(10 * _lam)}"] = _mmr(_lam)
+SQL["mmr_select_3"] = _MMR.replace("{lam}", "0.3")
+SQL["mmr_select_7"] = _MMR.replace("{lam}", "0.7")
+
+
+@query()
+def threshold_select(spark, d, delta: float = 1.15):
+    """TK6 on exact transport: greedy and data-dependent, so without SQL."""
+    x = _scores(spark, d).select("doc_id", "sent_idx", "score", T.tokens_a(F.col("sent")).alias("toks"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["score", "sent_idx"], ascending=False)
+        toks = dict(zip(g.sent_idx, map(list, g.toks), strict=True))
+        k = min(S.budget_of(len(g)), len(g))
+        picked, seen, out = S.threshold_filter(list(g.sent_idx), lambda i, j, x: W.at_least(toks[i], toks[j], x), delta, k)
+        return pd.DataFrame({"doc_id": [g.doc_id.iloc[0]], "selected": [picked], "ordered": [sorted(picked)], "k_i": [k], "num_evaluated": [seen], "num_rejected": [out], "budget_fulfillment": [len(picked) / k], "under_filled": [len(picked) < k]})
+
+    return x.groupBy("doc_id").applyInPandas(run, "doc_id long, selected array<int>, ordered array<int>, k_i int, num_evaluated int, num_rejected int, budget_fulfillment double, under_filled boolean")
+
+
+@query(f"""{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1), x AS (SELECT *, CASE WHEN m < 20 THEN 'short' WHEN m <= 45 THEN 'edge' WHEN m BETWEEN 50 AND 350 THEN 'medium' WHEN m > 500 THEN 'long' END AS stratum FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN stratum = 'edge' THEN lpad(m::VARCHAR, 6, '0') ELSE md5(doc_id::VARCHAR) END, doc_id) AS rn FROM x WHERE stratum IS NOT NULL)
+SELECT doc_id, m, stratum FROM r WHERE stratum = 'short' OR rn <= CASE stratum WHEN 'edge' THEN 11 WHEN 'medium' THEN 20 ELSE 15 END""")
+def stratified_sample(spark, d):
+    return S.stratified_sample(C.sizes(_sents(spark, d)))
+
+
+@query("""SELECT doc_id, CASE WHEN r <= least(100, n) THEN 'test' WHEN r <= least(100, n) + floor((n - least(100, n)) * 0.15) THEN 'val' ELSE 'train' END AS part
+FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) AS r, count(*) OVER () AS n FROM documents)""")
+def hash_split(spark, d):
+    return S.hash_split(_docs(spark, d))
+
+
+# ---- transport -------------------------------------------------------------------
+_TW = f"{_BASE}, w AS (SELECT doc_id, sent_idx, word, count(*) AS c, {_HV} AS h FROM (SELECT doc_id, sent_idx, unnest({_TOKA}) AS word FROM s) GROUP BY ALL), u AS (SELECT doc_id, sent_idx, word, c / sum(c) OVER (PARTITION BY doc_id, sent_idx) AS p, list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) AS v FROM w)"
+
+
+@query(f"""{_TW}, p AS (SELECT a.doc_id, a.sent_idx, a.word AS wa, a.p AS pa, b.word AS wb, b.p AS pb, sqrt(greatest(2 - 2 * list_dot_product(a.v, b.v), 0)) AS c FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.sent_idx = a.sent_idx - 1),
+l AS (SELECT doc_id, sent_idx, sum(x) AS d FROM (SELECT doc_id, sent_idx, wa, any_value(pa) * min(c) AS x FROM p GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT doc_id, sent_idx, sum(x) AS d FROM (SELECT doc_id, sent_idx, wb, any_value(pb) * min(c) AS x FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, sent_idx, round(greatest(l.d, r.d), 4) AS dist FROM l JOIN r USING (doc_id, sent_idx)""")
+def rwmd_previous(spark, d):
+    """Relaxed distance of every sentence to the one before it, as joins of words (J6, M7 relaxed, W7)."""
+    s = _sents(spark, d)
+    w = s.select("doc_id", "sent_idx", F.explode(T.tokens_a(F.col("sent"))).alias("word")).groupBy("doc_id", "sent_idx", "word").agg(F.count("*").alias("c"))
+    u = w.select("doc_id", "sent_idx", "word", (F.col("c") / F.sum("c").over(S.Window.partitionBy("doc_id", "sent_idx"))).alias("p"), V.unit(V.hash_vector(F.col("word"))).alias("v"))
+    a = u.select("doc_id", "sent_idx", F.col("word").alias("wa"), F.col("p").alias("pa"), F.col("v").alias("va"))
+    b = u.select("doc_id", (F.col("sent_idx") + 1).alias("sent_idx"), F.col("word").alias("wb"), F.col("p").alias("pb"), F.col("v").alias("vb"))
+    p = a.join(b, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "wa", "pa", "wb", "pb", F.sqrt(F.greatest(2.0 - 2.0 * V.dot(F.col("va"), F.col("vb")), F.lit(0.0))).alias("c"))
+    side = lambda k: p.groupBy("doc_id", "sent_idx", f"w{k}").agg((F.max(f"p{k}") * F.min("c")).alias("x")).groupBy("doc_id", "sent_idx").agg(F.sum("x").alias(f"d{k}"))
+    return side("a").join(side("b"), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", F.round(F.greatest("da", "db"), 4).alias("dist"))
+
+
+@query()
+def wmd_exact(spark, d):
+    """Exact distance of every sentence to the one before it (M7, W7); 0 for the first."""
+    x = _sents(spark, d).select("doc_id", "sent_idx", T.tokens_a(F.col("sent")).alias("toks"))
+    x = x.withColumn("prev", F.lag("toks").over(S.Window.partitionBy("doc_id").orderBy("sent_idx")))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "sent_idx": b.sent_idx, "dist": [0.0 if p is None else round(W.wmd(list(t), list(p)), 6) for t, p in zip(b.toks, b.prev, strict=True)]})
+
+    return x.mapInPandas(run, "doc_id long, sent_idx int, dist double")
+
+
+# ---- redundancy and evaluation ------------------------------------------------------
+_DT = f"dt AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[\\p{{L}}\\p{{N}}]+$') AND x NOT IN {_STOP}) AS x FROM documents)"
+
+
+@query(f"WITH {_DT}, g AS (SELECT doc_id, x, list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1]) AS b FROM dt) SELECT doc_id, round(CASE WHEN len(x) = 0 THEN 0.0 WHEN len(x) < 2 THEN 1.0 ELSE len(list_distinct(b))::DOUBLE / len(b) END, 6) AS distinct_2 FROM g")
+def distinct_n(spark, d):
+    return E.distinct_n(_docs(spark, d).select("doc_id", T.tokens_a(F.coalesce("text", F.lit(""))).alias("toks")), 2)
+
+
+_BLEU = f"""{_SCORED}, q AS (SELECT doc_id, sent_idx, {_TOKA} AS x FROM rk WHERE rn <= k), z AS (SELECT * FROM q WHERE len(x) > 0), nn AS (SELECT doc_id, count(*) AS n FROM z GROUP BY 1),
+g AS (SELECT doc_id, sent_idx, 1 AS o, unnest(x) AS g FROM z UNION ALL SELECT doc_id, sent_idx, 2, unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) FROM z),
+c AS (SELECT doc_id, sent_idx, o, g, count(*) AS c FROM g GROUP BY ALL),
+m AS (SELECT a.doc_id, a.sent_idx, a.o, a.g, a.c, coalesce(max(b.c), 0) AS other FROM c a LEFT JOIN c b ON a.doc_id = b.doc_id AND a.o = b.o AND a.g = b.g AND a.sent_idx <> b.sent_idx GROUP BY ALL),
+h AS (SELECT doc_id, sent_idx, sum(least(c, other)) FILTER (o = 1) AS h1, sum(c) FILTER (o = 1) AS a1, coalesce(sum(least(c, other)) FILTER (o = 2), 0) AS h2, coalesce(sum(c) FILTER (o = 2), 0) AS a2 FROM m GROUP BY ALL),
+rl AS (SELECT a.doc_id, a.sent_idx, arg_min(len(b.x), abs(len(b.x) - len(a.x)) * 100000 + len(b.x)) AS r FROM z a LEFT JOIN z b ON a.doc_id = b.doc_id AND a.sent_idx <> b.sent_idx GROUP BY ALL)
+SELECT doc_id, round(avg(CASE WHEN n < 2 OR h1 = 0 THEN 0.0 ELSE (CASE WHEN len(x) > r THEN 1.0 ELSE exp(1.0 - r::DOUBLE / len(x)) END) * exp((ln(h1::DOUBLE / a1) + ln((CASE WHEN h2 = 0 THEN 0.1 ELSE h2::DOUBLE END) / greatest(a2, 1))) / 2) END), 6) AS self_bleu_2
+FROM z JOIN nn USING (doc_id) JOIN h USING (doc_id, sent_idx) JOIN rl USING (doc_id, sent_idx) GROUP BY 1"""
+
+
+@query(_BLEU)
+def self_bleu(spark, d):
+    x = _scores(spark, d)
+    top = S.top_k(x).join(x.select("doc_id", "sent_idx", "sent"), ["doc_id", "sent_idx"])
+    return E.self_bleu_2(top.select("doc_id", "sent_idx", T.tokens_a(F.col("sent")).alias("toks")))
+
+
+@query(_BLEU.replace("SELECT doc_id, round(avg(", "SELECT b.doc_id, b.n_sel AS selected_count, b.k AS k_i, round(b.n_sel / b.k, 6) AS budget_fulfillment, b.n_sel < b.k AS under_filled, coalesce(sb, 0.0) AS self_bleu_2, b.tc AS token_count FROM (SELECT doc_id, count(*) AS n_sel, any_value(k) AS k, sum(len(" + _TOKA + "))::BIGINT AS tc FROM rk WHERE rn <= k GROUP BY 1) b LEFT JOIN (SELECT doc_id, round(avg(").replace("AS self_bleu_2\nFROM z", "AS sb\nFROM z") + ") q2 ON b.doc_id = q2.doc_id")
+def summary_metrics(spark, d):
+    """Counts, budget, redundancy and tokens of the selected sentences."""
+    x = _scores(spark, d)
+    r = S.ranked(x, "doc_id", "sent_idx", "score").withColumn("k", T.budget(F.col("m"))).where("rn <= k").select("doc_id", "sent_idx", "k", T.tokens_a(F.col("sent")).alias("toks"))
+    c = r.groupBy("doc_id").agg(F.count("*").alias("selected_count"), F.max("k").alias("k_i"), F.sum(F.size("toks").cast("long")).alias("token_count"))
+    c = c.join(E.self_bleu_2(r), "doc_id", "left")
+    return c.select("doc_id", "selected_count", "k_i", F.round(F.col("selected_count") / F.col("k_i"), 6).alias("budget_fulfillment"), (F.col("selected_count") < F.col("k_i")).alias("under_filled"), F.coalesce("self_bleu_2", F.lit(0.0)).alias("self_bleu_2"), "token_count")
+
+
+_TWO = f"{_SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, sent_idx DESC) AS rt FROM rk)"
+
+
+@query(f"""{_TWO}, a AS (SELECT doc_id, count(*) FILTER (rn <= k AND rt <= k) AS both, count(*) FILTER (rn <= k OR rt <= k) AS any_, count(*) FILTER (rt <= k) AS truth FROM p GROUP BY 1)
+SELECT doc_id, round(both::DOUBLE / any_, 6) AS jaccard, round(both::DOUBLE / truth, 6) AS recall FROM a""")
+def overlap_metrics(spark, d):
+    """SO1-SO3: the score's top k against the top k by TF-IDF alone."""
+    x = _scores(spark, d)
+    sets = lambda c, n: S.top_k(x, score=c).groupBy("doc_id").agg(F.collect_list("sent_idx").alias(n))
+    j = sets("tfidf", "truth").join(sets("score", "found"), "doc_id")
+    return j.select("doc_id", F.round(E.jaccard(F.col("truth"), F.col("found")), 6).alias("jaccard"), F.round(E.recall(F.col("truth"), F.col("found")), 6).alias("recall"))
+
+
+@query(f"""{_SCORED}, r AS (SELECT doc_id, sent_idx, tfidf, score, rank() OVER (PARTITION BY doc_id ORDER BY tfidf) + (count(*) OVER (PARTITION BY doc_id, tfidf) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY doc_id ORDER BY score) + (count(*) OVER (PARTITION BY doc_id, score) - 1) / 2.0 AS ry FROM sc),
+rho AS (SELECT doc_id, count(*) AS m, corr(rx, ry) AS rho, stddev_pop(rx) * stddev_pop(ry) AS sd FROM r GROUP BY 1),
+tau AS (SELECT a.doc_id, sum(sign(a.tfidf - b.tfidf) * sign(a.score - b.score)) / nullif(sqrt(sum(abs(sign(a.tfidf - b.tfidf))) * sum(abs(sign(a.score - b.score)))), 0) AS tau FROM sc a JOIN sc b ON a.doc_id = b.doc_id AND a.sent_idx < b.sent_idx GROUP BY 1)
+SELECT doc_id, round(CASE WHEN sd = 0 THEN 0 ELSE coalesce(rho, 0) END, 6) AS rho, round(coalesce(tau, 0), 6) AS tau_b FROM rho JOIN tau USING (doc_id) WHERE m >= 2""")
+def rank_corr(spark, d):
+    return E.rank_correlation(_scores(spark, d), "doc_id", "sent_idx", "tfidf", "score")
+
+
+@query(f"""{_SCORED} SELECT doc_id, any_value(m) AS m, round(min(rn) FILTER (tfidf = mx) / any_value(m), 6) AS best_pct, count(*) FILTER (tfidf >= 0.8) AS n_high, count(*) FILTER (tfidf >= 0.8 AND rn <= k) AS n_high_top,
+round(avg(rn) FILTER (tfidf >= 0.8), 6) AS mean_high_rank, round(max(score) - min(score), 6) AS spread, round(stddev_pop(score), 6) AS std FROM (SELECT *, max(tfidf) OVER (PARTITION BY doc_id) AS mx FROM rk) GROUP BY 1""")
+def rank_diagnostics(spark, d):
+    return E.rank_diagnostics(_scores(spark, d).select("doc_id", "sent_idx", "tfidf", "score"), "doc_id", "sent_idx", "tfidf", "score")
+
+
+@query(f"""{_TWO}, a AS (SELECT doc_id, any_value(m) AS m, any_value(k) AS k, count(*) FILTER (rn <= k AND rt <= k) AS both FROM p GROUP BY 1)
+SELECT CASE WHEN m < 20 THEN 'short' WHEN m <= 500 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n_docs, sum(m)::BIGINT AS total_sentences, round(sum(both)::DOUBLE / sum(least(k, m)), 6) AS capture, round((sum(both)::DOUBLE / sum(least(k, m))) / (sum(least(k, m))::DOUBLE / sum(m)), 6) AS over_chance FROM a GROUP BY 1""")
+def bucket_report(spark, d):
+    """AG17: by length, the share of the truth that is found, and its ratio to chance."""
+    x = _scores(spark, d)
+    a = S.top_k(x, score="tfidf").select("doc_id", "sent_idx").join(S.top_k(x).select("doc_id", "sent_idx"), ["doc_id", "sent_idx"]).groupBy("doc_id").agg(F.count("*").alias("both"))
+    m = C.sizes(x).join(a, "doc_id", "left").withColumn("k", F.least(T.budget(F.col("m")).cast("long"), "m"))
+    hit, k, n = F.sum(F.coalesce("both", F.lit(0))), F.sum("k"), F.sum("m")
+    return m.groupBy(T.length_bucket(F.col("m")).alias("bucket")).agg(F.count("*").alias("n_docs"), n.alias("total_sentences"), F.round(F.try_divide(hit, k), 6).alias("capture"), F.round(F.try_divide(F.try_divide(hit, k), F.try_divide(k, n)), 6).alias("over_chance"))
+
+
+@query(f"""{_BASE}, m AS (SELECT doc_id, m, least({_BUD}, m)::INT AS k FROM (SELECT doc_id, count(*) AS m FROM s GROUP BY 1)),
+h AS (SELECT doc_id, m, k, unnest(range(greatest(0, 2 * k - m), k + 1))::INT AS h FROM m),
+p AS (SELECT *, exp(lgamma(k + 1) - lgamma(h + 1) - lgamma(k - h + 1) + lgamma(m - k + 1) - lgamma(k - h + 1) - lgamma(m - 2 * k + h + 1) - lgamma(m + 1) + lgamma(k + 1) + lgamma(m - k + 1)) AS p FROM h)
+SELECT doc_id, round(sum(p * h / (2 * k - h)), 6) AS ej, round(max(k::DOUBLE / m), 6) AS er FROM p GROUP BY 1""")
+def chance_closed_form(spark, d):
+    return E.chance(C.sizes(_sents(spark, d)))
+
+
+@query(f"""{_SCORED}, q AS (SELECT 'tfidf' AS feature, quantile_cont(tfidf, 0.25) AS a, quantile_cont(tfidf, 0.5) AS b, quantile_cont(tfidf, 0.75) AS c FROM sc UNION ALL SELECT 'pos', quantile_cont(pos, 0.25), quantile_cont(pos, 0.5), quantile_cont(pos, 0.75) FROM sc)
+SELECT feature, round(b, 6) AS center, round(CASE WHEN c = a THEN 1 ELSE c - a END, 6) AS scale FROM q""")
+def robust_scale(spark, d):
+    p = E.robust_params(_scores(spark, d).select("tfidf", "pos"), ["tfidf", "pos"])
+    return p.select("feature", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"))
+
+
+@query(f"""{_SCORED} SELECT doc_id, sent_idx, round((tfidf - (SELECT quantile_cont(tfidf, 0.5) FROM sc)) / (SELECT quantile_cont(tfidf, 0.75) - quantile_cont(tfidf, 0.25) FROM sc), 4) AS tfidf FROM sc""")
+def scaled_features(spark, d):
+    x = _scores(spark, d).select("doc_id", "sent_idx", "tfidf")
+    return E.scale(x, E.robust_params(x, ["tfidf"]), ["tfidf"]).withColumn("tfidf", F.round("tfidf", 4))
+
+
+@query(f"{_SCORED} SELECT count(*) AS n, round(1 - sum((tfidf - score) ** 2) / (var_pop(tfidf) * count(*)), 6) AS r2, round(sqrt(avg((tfidf - score) ** 2)), 6) AS rmse, round(avg(abs(tfidf - score)), 6) AS mae, false AS negative_r2 FROM sc")
+def regression_metrics(spark, d):
+    m = E.regression_metrics(_scores(spark, d), "tfidf", "score")
+    return m.select("n", F.round("r2", 6).alias("r2"), F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"), "negative_r2")
+
+
+@query(f"""{_BASE}, a AS (SELECT doc_id, sent_idx FROM s), b AS (SELECT doc_id, sent_idx FROM s WHERE length(sent) > 20), j AS (SELECT a.doc_id AS x, b.doc_id AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx)
+SELECT 'only_left' AS "check", count(*) FILTER (y IS NULL) AS n_bad FROM j UNION ALL SELECT 'only_right', count(*) FILTER (x IS NULL) FROM j UNION ALL SELECT 'nan_n', 0 UNION ALL SELECT 'differs_n', count(*) FILTER (y IS NULL) FROM j""")
+def alignment_audit(spark, d):
+    s = _sents(spark, d).select("doc_id", "sent_idx", F.length("sent").alias("n"))
+    return E.alignment(s, s.where("n > 20"), ["doc_id", "sent_idx"], ["n"])
+
+
+@query()
+def gbt_scores(spark, d):
+    """ML5/ML6 on ROUGE labels; a small forest, as trees have no SQL."""
+    x = _scores(spark, d).join(_labels(spark, d), ["doc_id", "sent_idx"]).withColumn("ner", T.ner_proxy(F.col("sent")).cast("double"))
+    split = S.hash_split(_docs(spark, d))
+    x = x.join(split, "doc_id").select("doc_id", "sent_idx", "tfidf", "pos", "ner", "y", "part").cache()
+    f = ("tfidf", "ner", "pos")
+    return G.predict(G.fit(x.where("part = 'train'"), f, trees=10), x, f).select("doc_id", "sent_idx", "part", "y", "y_hat")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries: the budgeted top sentences by score, in document order."""
+    x = _scores(spark, d)
+    r = S.ranked(x, "doc_id", "sent_idx", "score").withColumn("k", T.budget(F.col("m"))).where("rn <= k")
+    s = r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "sent"))).alias("x"), F.max("k").alias("k"), F.count("*").alias("n"))
+    return s.select("doc_id", F.array_join(F.transform("x", lambda p: p["sent"]), " ").alias("summary"), "k", F.round(F.col("n") / F.col("k"), 6).alias("fulfillment"))
+
+
+@query(f"{_SCORED} SELECT doc_id, string_agg(sent, ' ' ORDER BY sent_idx) AS summary, any_value(k) AS k, round(count(*) / any_value(k), 6) AS fulfillment FROM rk WHERE rn <= k GROUP BY 1")
+def c3_summary(spark, d):
+    return flagship(spark, d)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
