@@ -4,7 +4,7 @@ A byte goes if it is covered by a ``LENGTH``-byte string that also starts
 anywhere else in the corpus, the same document included.
 
 Dealing out.  Every start of a LENGTH-byte string is owned by the string's
-minimizer: of its 64-byte strings the one with the least hash, the leftmost of
+minimizer: of its 32-byte strings the one with the least hash, the leftmost of
 equals.  Equal strings have equal minimizers at equal places, so only starts
 whose minimizers are equal can match.  One row for each run of starts with one
 owner: (minimizer, document, first start, last start).  Minimizers that occur
@@ -37,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import ragged, slices, table, texts_of
+from inkstone.llm.common import cut, ragged, ready, slices, table, texts_of
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
 CHUNK = 1 << 20  # places in a chunk take 20 bits of the sort key
 GROUP = 2_000_000
@@ -191,13 +191,13 @@ def _runs(docs: DataFrame) -> DataFrame:
                 n.append(len(parts[-1][0]))
             row = pa.array(np.repeat(np.arange(b.num_rows), n))
             lo, hi, h = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(h), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], ["ord", "th", "m", "lo", "more"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(h), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], ["ord", "tag", "m", "lo", "more"])
 
-    return docs.mapInArrow(run, "ord long, th long, m long, lo int, more int")
+    return docs.mapInArrow(run, "ord long, tag int, m long, lo int, more int")
 
 
 def _strings(joined: DataFrame) -> DataFrame:
-    """(m, k, ord, th, lo, s): the bytes under each run, and their hash."""
+    """(m, k, ord, tag, lo, s): the bytes under each run, and their hash, which with m has 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
@@ -206,19 +206,20 @@ def _strings(joined: DataFrame) -> DataFrame:
             for o, th, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(3).to_pylist(), strict=True):
                 for x in found:
                     s = t[x["lo"] : x["lo"] + x["more"] + LENGTH]
-                    rows.append((x["m"], xxhash.xxh3_128_digest(s), o, th, x["lo"], s))
+                    rows.append((x["m"], xxhash.xxh3_64_intdigest(s) - (1 << 63), o, th, x["lo"], s))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["m", "k", "ord", "th", "lo", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["m", "k", "ord", "tag", "lo", "s"])
 
-    return joined.mapInArrow(run, "m long, k binary, ord long, th long, lo int, s binary")
+    return joined.mapInArrow(run, "m long, k long, ord long, tag int, lo int, s binary")
 
 
 def spans(docs: DataFrame, size: int) -> DataFrame:
-    """(ord, th, runs): for each text with bytes to remove, their (a, b) runs; ``docs`` is (ord, th, text)."""
+    """(ord, tag, runs): for each text with bytes to remove, their (a, b) runs; ``docs`` is (ord, tag, text)."""
     rows = _runs(docs)
     twice = rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("g"))
-    found = rows.join(twice, F.col("m") == F.col("g")).groupBy("ord", "th").agg(F.collect_list(F.struct("m", "lo", "more")).alias("found"))
-    strings = _strings(docs.join(found, ["ord", "th"]).select("ord", "th", "text", "found"))
+    # each phase is written, so that its shuffle files are gone before the next one makes its own
+    found = cut(rows.join(twice, F.col("m") == F.col("g")).groupBy("ord", "tag").agg(F.collect_list(F.struct("m", "lo", "more")).alias("found")))
+    strings = _strings(docs.join(found, ["ord", "tag"]).select("ord", "tag", "text", "found"))
     one = strings.groupBy("m", "k").agg(F.count("*").alias("n"), F.first("s").alias("s"))
     groups = max(1, -(-size // GROUP))
 
@@ -230,18 +231,19 @@ def spans(docs: DataFrame, size: int) -> DataFrame:
         return pa.table({"gm": t.column(0).take(pa.array(keep, pa.int64())), "gk": t.column(1).take(pa.array(keep, pa.int64())), "cover": pa.array([[{"a": a, "b": b} for a, b in out[i]] for i in keep], kind)})
 
     grouped = one.withColumn("g", F.pmod("m", F.lit(groups)).cast("int")).select("m", "k", "n", "s", "g")
-    cover = grouped.groupBy("g").applyInArrow(expand, "gm long, gk binary, cover array<struct<a:int,b:int>>")
-    places = strings.select("m", "k", "ord", "th", "lo").join(cover, (F.col("m") == F.col("gm")) & (F.col("k") == F.col("gk")))
-    return places.select("ord", "th", F.explode("cover").alias("c"), "lo").groupBy("ord", "th").agg(F.collect_list(F.struct((F.col("lo") + F.col("c.a")).alias("a"), (F.col("lo") + F.col("c.b")).alias("b"))).alias("runs"))
+    cover = grouped.groupBy("g").applyInArrow(expand, "gm long, gk long, cover array<struct<a:int,b:int>>")
+    places = strings.select("m", "k", "ord", "tag", "lo").join(cover, (F.col("m") == F.col("gm")) & (F.col("k") == F.col("gk")))
+    return cut(places.select("ord", "tag", F.explode("cover").alias("c"), "lo").groupBy("ord", "tag").agg(F.collect_list(F.struct((F.col("lo") + F.col("c.a")).alias("a"), (F.col("lo") + F.col("c.b")).alias("b"))).alias("runs")))
 
 
 def dedup_bytes(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (maximal (a, b) runs), kept (binary), one row per row of ``df``."""
+    ready(df.sparkSession)
     text = F.col("text").cast("string")
-    # rows that repeat a doc_id and text are told apart by nothing, so they are counted, and a count over one removes the text
+    # the tag (32 bits of the text's hash) tells rows with one doc_id apart; rows equal in both count as so many occurrences
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("text"))
-    joined = docs.join(spans(docs.select("ord", "th", "text"), size), ["ord", "th"], "left").select("doc_id", "text", "runs")
+    docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.hash(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
+    joined = docs.join(spans(docs.select("ord", "tag", "text"), size), ["ord", "tag"], "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))

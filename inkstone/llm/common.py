@@ -24,8 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's switch for removing an execution's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Sees that checkpoint() has a folder: the cluster's shared one, else (tests only) a temporary one."""
+    """Sees that checkpoint() has a folder (the cluster's shared one, else, in tests only, a temporary one) and that
+    executions remove their shuffle files when they end: what they made is in the checkpoint by then."""
+    spark.conf.set(TIDY, "true")
     sc: SparkContext = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
