@@ -7,6 +7,7 @@ document and share one decision.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -45,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def without_broadcast(spark: SparkSession):
+    """Plans and runs what is inside without automatic broadcasts: in loops over small tables each one holds a page of driver memory."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _th, text): the operators' input, free of any other column; a null text has a null ``_th``."""
     t = F.col(f"`{text_col}`").cast("string")
