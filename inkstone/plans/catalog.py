@@ -397,8 +397,8 @@ def summary_metrics(spark, d):
 _TWO = f"{_SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, sent_idx DESC) AS rt FROM rk)"
 
 
-@query(f"""{_TWO}, a AS (SELECT doc_id, count(*) FILTER (rn <= k AND rt <= k) AS both, count(*) FILTER (rn <= k OR rt <= k) AS any_, count(*) FILTER (rt <= k) AS truth FROM p GROUP BY 1)
-SELECT doc_id, round(both::DOUBLE / any_, 6) AS jaccard, round(both::DOUBLE / truth, 6) AS recall FROM a""")
+@query(f"""{_TWO}, a AS (SELECT doc_id, count(*) FILTER (rn <= k AND rt <= k) AS hits, count(*) FILTER (rn <= k OR rt <= k) AS any_, count(*) FILTER (rt <= k) AS truth FROM p GROUP BY 1)
+SELECT doc_id, round(hits::DOUBLE / any_, 6) AS jaccard, round(hits::DOUBLE / truth, 6) AS recall FROM a""")
 def overlap_metrics(spark, d):
     """SO1-SO3: the score's top k against the top k by TF-IDF alone."""
     x = _scores(spark, d)
@@ -416,13 +416,13 @@ def rank_corr(spark, d):
 
 
 @query(f"""{_SCORED} SELECT doc_id, any_value(m) AS m, round(min(rn) FILTER (tfidf = mx) / any_value(m), 6) AS best_pct, count(*) FILTER (tfidf >= 0.8) AS n_high, count(*) FILTER (tfidf >= 0.8 AND rn <= k) AS n_high_top,
-round(avg(rn) FILTER (tfidf >= 0.8), 6) AS mean_high_rank, round(max(score) - min(score), 6) AS spread, round(stddev_pop(score), 6) AS std FROM (SELECT *, max(tfidf) OVER (PARTITION BY doc_id) AS mx FROM rk) GROUP BY 1""")
+round(avg(rn) FILTER (tfidf >= 0.8), 6) AS mean_high_rank, round(max(score) - min(score), 6) AS spread, round(stddev_pop(score), 4) AS std FROM (SELECT *, max(tfidf) OVER (PARTITION BY doc_id) AS mx FROM rk) GROUP BY 1""")
 def rank_diagnostics(spark, d):
     return E.rank_diagnostics(_scores(spark, d).select("doc_id", "sent_idx", "tfidf", "score"), "doc_id", "sent_idx", "tfidf", "score")
 
 
-@query(f"""{_TWO}, a AS (SELECT doc_id, any_value(m) AS m, any_value(k) AS k, count(*) FILTER (rn <= k AND rt <= k) AS both FROM p GROUP BY 1)
-SELECT CASE WHEN m < 20 THEN 'short' WHEN m <= 500 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n_docs, sum(m)::BIGINT AS total_sentences, round(sum(both)::DOUBLE / sum(least(k, m)), 6) AS capture, round((sum(both)::DOUBLE / sum(least(k, m))) / (sum(least(k, m))::DOUBLE / sum(m)), 6) AS over_chance FROM a GROUP BY 1""")
+@query(f"""{_TWO}, a AS (SELECT doc_id, any_value(m) AS m, any_value(k) AS k, count(*) FILTER (rn <= k AND rt <= k) AS hits FROM p GROUP BY 1)
+SELECT CASE WHEN m < 20 THEN 'short' WHEN m <= 500 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n_docs, sum(m)::BIGINT AS total_sentences, round(sum(hits)::DOUBLE / sum(least(k, m)), 6) AS capture, round((sum(hits)::DOUBLE / sum(least(k, m))) / (sum(least(k, m))::DOUBLE / sum(m)), 6) AS over_chance FROM a GROUP BY 1""")
 def bucket_report(spark, d):
     """AG17: by length, the share of the truth that is found, and its ratio to chance."""
     x = _scores(spark, d)
@@ -447,10 +447,10 @@ def robust_scale(spark, d):
     return p.select("feature", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"))
 
 
-@query(f"""{_SCORED} SELECT doc_id, sent_idx, round((tfidf - (SELECT quantile_cont(tfidf, 0.5) FROM sc)) / (SELECT quantile_cont(tfidf, 0.75) - quantile_cont(tfidf, 0.25) FROM sc), 4) AS tfidf FROM sc""")
+@query(f"""{_SCORED} SELECT doc_id, sent_idx, round((tfidf - (SELECT quantile_cont(tfidf, 0.5) FROM sc)) / (SELECT quantile_cont(tfidf, 0.75) - quantile_cont(tfidf, 0.25) FROM sc), 4) + 0.0 AS tfidf FROM sc""")
 def scaled_features(spark, d):
     x = _scores(spark, d).select("doc_id", "sent_idx", "tfidf")
-    return E.scale(x, E.robust_params(x, ["tfidf"]), ["tfidf"]).withColumn("tfidf", F.round("tfidf", 4))
+    return E.scale(x, E.robust_params(x, ["tfidf"]), ["tfidf"]).withColumn("tfidf", F.round("tfidf", 4) + 0.0)
 
 
 @query(f"{_SCORED} SELECT count(*) AS n, round(1 - sum((tfidf - score) ** 2) / (var_pop(tfidf) * count(*)), 6) AS r2, round(sqrt(avg((tfidf - score) ** 2)), 6) AS rmse, round(avg(abs(tfidf - score)), 6) AS mae, false AS negative_r2 FROM sc")
