@@ -132,7 +132,7 @@ def rank_diagnostics(df: DataFrame, key: str, item: str, y: str, p: str, high: f
     r = ranked(df.select(key, item, y, F.col(p).alias("score")), key, item, "score")
     best = F.max(F.struct(y, (-F.col("rn")).alias("r")))
     hi, top = F.col(y) >= high, F.col("rn") <= T.budget(F.col("m"))
-    return r.groupBy(key).agg(F.max("m").alias("m"), F.round(-best.getField("r") / F.max("m"), 6).alias("best_pct"), F.count(F.when(hi, 1)).alias("n_high"), F.count(F.when(hi & top, 1)).alias("n_high_top"), F.round(F.avg(F.when(hi, F.col("rn"))), 6).alias("mean_high_rank"), F.round(F.max("score") - F.min("score"), 6).alias("spread"), F.round(F.stddev_pop("score"), 4).alias("std"))
+    return r.groupBy(key).agg(F.max("m").alias("m"), F.round(-best.getField("r") / F.max("m"), 6).alias("best_pct"), F.count(F.when(hi, 1)).alias("n_high"), F.count(F.when(hi & top, 1)).alias("n_high_top"), F.round(F.avg(F.when(hi, F.col("rn"))), 6).alias("mean_high_rank"), F.round(F.max("score") - F.min("score"), 7).alias("spread"), F.round(F.stddev_pop("score"), 4).alias("std"))
 
 
 def alignment(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

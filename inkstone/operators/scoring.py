@@ -44,4 +44,4 @@ def importances(model: GBTRegressionModel, features) -> list[tuple[str, float]]:
 
 def linear_proxy():
     """A fixed score for queries that SQL must repeat: weight by TF-IDF, less for late sentences."""
-    return F.round(F.col("tfidf") - 0.5 * F.col("pos"), 6)
+    return F.round(F.col("tfidf") - 0.5 * F.col("pos"), 7)

@@ -64,7 +64,7 @@ _T = f"t AS (SELECT doc_id, sent_idx, term, count(*) AS tf FROM (SELECT doc_id,
 _N = "n AS (SELECT count(*) AS n FROM documents)"
 _VOC = "v AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df, sum(tf) AS cf FROM t GROUP BY term), n WHERE df >= 5 AND df <= 0.85 * n ORDER BY cf DESC, term LIMIT 50000)"
 _TS = "ts AS (SELECT s.doc_id, s.sent_idx, s.sent, round(coalesce(x, 0), 6) AS tfidf FROM s LEFT JOIN (SELECT doc_id, sent_idx, sum((1 + ln(tf)) * idf) / sqrt(sum(((1 + ln(tf)) * idf) ** 2)) AS x FROM t JOIN v USING (term) GROUP BY ALL) w USING (doc_id, sent_idx))"
-_SC = "sc AS (SELECT *, round(tfidf - 0.5 * pos, 6) AS score FROM (SELECT *, round(sent_idx / count(*) OVER (PARTITION BY doc_id), 6) AS pos, count(*) OVER (PARTITION BY doc_id) AS m FROM ts))"
+_SC = "sc AS (SELECT *, round(tfidf - 0.5 * pos, 7) AS score FROM (SELECT *, round(sent_idx / count(*) OVER (PARTITION BY doc_id), 6) AS pos, count(*) OVER (PARTITION BY doc_id) AS m FROM ts))"
 _BUD = "greatest(3, round_even(0.05::DOUBLE * m, 0)::INT)"
 _RK = f"rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_idx DESC) AS rn, {_BUD} AS k FROM sc)"
 _BASE = f"WITH {_S}"
@@ -416,7 +416,7 @@ def rank_corr(spark, d):
 
 
 @query(f"""{_SCORED} SELECT doc_id, any_value(m) AS m, round(min(rn) FILTER (tfidf = mx) / any_value(m), 6) AS best_pct, count(*) FILTER (tfidf >= 0.8) AS n_high, count(*) FILTER (tfidf >= 0.8 AND rn <= k) AS n_high_top,
-round(avg(rn) FILTER (tfidf >= 0.8), 6) AS mean_high_rank, round(max(score) - min(score), 6) AS spread, round(stddev_pop(score), 4) AS std FROM (SELECT *, max(tfidf) OVER (PARTITION BY doc_id) AS mx FROM rk) GROUP BY 1""")
+round(avg(rn) FILTER (tfidf >= 0.8), 6) AS mean_high_rank, round(max(score) - min(score), 7) AS spread, round(stddev_pop(score), 4) AS std FROM (SELECT *, max(tfidf) OVER (PARTITION BY doc_id) AS mx FROM rk) GROUP BY 1""")
 def rank_diagnostics(spark, d):
     return E.rank_diagnostics(_scores(spark, d).select("doc_id", "sent_idx", "tfidf", "score"), "doc_id", "sent_idx", "tfidf", "score")
 
