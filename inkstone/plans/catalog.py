@@ -297,7 +297,6 @@ SQL["mmr_select_3"] = _MMR.replace("{lam}", "0.3")
 SQL["mmr_select_7"] = _MMR.replace("{lam}", "0.7")
 
 
-@query()
 def threshold_select(spark, d, delta: float = 1.15):
     """TK6 on exact transport: greedy and data-dependent, so without SQL."""
     x = _scores(spark, d).select("doc_id", "sent_idx", "score", T.tokens_a(F.col("sent")).alias("toks"))
@@ -345,7 +344,6 @@ def rwmd_previous(spark, d):
     return side("a").join(side("b"), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", F.round(F.greatest("da", "db"), 4).alias("dist"))
 
 
-@query()
 def wmd_exact(spark, d):
     """Exact distance of every sentence to the one before it (M7, W7); 0 for the first."""
     x = _sents(spark, d).select("doc_id", "sent_idx", T.tokens_a(F.col("sent")).alias("toks"))
