@@ -41,9 +41,15 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and reads it from there: lineage ends, lost executors cost nothing."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to the checkpoint folder and reads it from there: lineage ends, lost executors cost nothing.
+
+    A checkpoint keeps the size estimate of the plan that made it, and a join's is the product of its sides: in
+    loops its digits double with each round until the driver's heap is full.  The copy has no estimate; joins
+    are then chosen by the sizes that the shuffles measure.
+    """
+    spark = ready(df.sparkSession)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 @contextlib.contextmanager
