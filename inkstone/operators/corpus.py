@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions import vectors as V
+from inkstone.functions.stem import stems
 
 MIN_DF, MAX_DF, MAX_TERMS = 5, 0.85, 50_000
 
@@ -51,24 +52,41 @@ def tfidf_sum(s: DataFrame, t: DataFrame, vocab: DataFrame) -> DataFrame:
     return s.select("doc_id", "sent_idx").join(w, ["doc_id", "sent_idx"], "left").select("doc_id", "sent_idx", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("tfidf"))
 
 
-def labels(src: DataFrame, ref: DataFrame) -> DataFrame:
+def labels(src: DataFrame, ref: DataFrame, stemmed: bool = False) -> DataFrame:
     """J5, M10, AG8: (doc_id, sent_idx, y, match_idx): the best ROUGE-1 F1 over reference sentences, -1 if none.
 
     ``src`` is (doc_id, sent_idx, sent), ``ref`` (ref_idx, sent), a fixed reference set.  Tokens are joined, not
-    sentences: a pair without a common token has F1 0 and is never made.
+    sentences: a pair without a common token has F1 0 and is never made.  Stopwords count in lengths, not as hits.
+    With ``stemmed`` tokens agree by stem (ST14); each distinct token is stemmed once.
     """
     count = lambda df, *k: df.groupBy(*k, "tok").agg(F.count("*").alias("c"))
     a = src.select("doc_id", "sent_idx", F.explode(T.tokens_rouge(F.col("sent"))).alias("tok"))
     b = ref.select("ref_idx", F.explode(T.tokens_rouge(F.col("sent"))).alias("tok"))
     na, nb = a.groupBy("doc_id", "sent_idx").agg(F.count("*").alias("na")), b.groupBy("ref_idx").agg(F.count("*").alias("nb"))
     keep = ~F.col("tok").isin(*T.STOPWORDS)
-    hit = count(a.where(keep), "doc_id", "sent_idx").join(count(b.where(keep), "ref_idx").withColumnRenamed("c", "c2"), "tok")
+    a, b = a.where(keep), b.where(keep)
+    if stemmed:
+        known = a.select("tok").union(b.select("tok")).distinct().select("tok", stems(F.col("tok")).alias("stem"))
+        a, b = (x.join(known, "tok").drop("tok").withColumnRenamed("stem", "tok") for x in (a, b))
+    hit = count(a, "doc_id", "sent_idx").join(count(b, "ref_idx").withColumnRenamed("c", "c2"), "tok")
     hit = hit.groupBy("doc_id", "sent_idx", "ref_idx").agg(F.sum(F.least("c", "c2")).alias("hits")).join(nb, "ref_idx").join(na, ["doc_id", "sent_idx"])
     f1 = 2.0 * F.col("hits") / (F.col("na") + F.col("nb"))
     best = hit.groupBy("doc_id", "sent_idx").agg(F.max(F.struct(f1.alias("f"), (-F.col("ref_idx")).alias("k"))).alias("x"))
     return src.select("doc_id", "sent_idx").join(best, ["doc_id", "sent_idx"], "left").select("doc_id", "sent_idx", F.round(F.coalesce("x.f", F.lit(0.0)), 6).alias("y"), F.coalesce(-F.col("x.k"), F.lit(-1)).alias("match_idx"))
 
 
+def row_offsets(sizes: DataFrame, bucket: int = 65_536) -> DataFrame:
+    """(doc_id, start_idx, end_idx, num_sentences) of documents laid out by doc_id, the end exclusive.
+
+    Sums of runs of ``bucket`` ids are accumulated first, so the one ordered pass over everything has a row a run.
+    """
+    x = sizes.select("doc_id", F.col("m").cast("long").alias("m"), F.floor(F.col("doc_id") / bucket).alias("run"))
+    runs = x.groupBy("run").agg(F.sum("m").alias("all"))
+    runs = runs.select("run", (F.sum("all").over(Window.orderBy("run")) - F.col("all")).alias("before"))
+    end = F.sum("m").over(Window.partitionBy("run").orderBy("doc_id")) + F.col("before")
+    return x.join(runs, "run").select("doc_id", (end - F.col("m")).alias("start_idx"), end.alias("end_idx"), F.col("m").cast("int").alias("num_sentences"))
+
+
 def sentence_vectors(s: DataFrame, tokens=T.tokens_a, vector=V.hash_vector) -> DataFrame:
     """J7, AG10: (doc_id, sent_idx, vec): the mean word vector; words are made vectors once each."""
     tok = s.select("doc_id", "sent_idx", F.explode(tokens(F.col("sent"))).alias("word"))

@@ -47,6 +47,22 @@ def rank_correlation(df: DataFrame, key: str, item: str, x: str, y: str) -> Data
     return rho.join(tau, key).select(key, F.round(F.coalesce("rho", F.lit(0.0)), 6).alias("rho"), F.round(F.coalesce("tau_b", F.lit(0.0)), 6).alias("tau_b"))
 
 
+def global_spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """M15 over all rows: (n, rho), 0 where undefined.  Ranks come from counts of equal values: the ordered pass has a row a value."""
+
+    def ranks(c: str) -> DataFrame:
+        v = df.groupBy(F.col(c).alias(f"v_{c}")).agg(F.count("*").alias("c"))
+        return v.select(f"v_{c}", (F.sum("c").over(Window.orderBy(f"v_{c}")) - (F.col("c") - 1) / 2.0).alias(f"r_{c}"))
+
+    pairs = df.groupBy(x, y).agg(F.count("*").alias("w"))
+    r = pairs.join(ranks(x), F.col(x) == F.col(f"v_{x}")).join(ranks(y), F.col(y) == F.col(f"v_{y}"))
+    mid = r.agg(F.sum("w").alias("n"))
+    a, b, w = (F.col(c) for c in ("a", "b", "w"))
+    d = r.crossJoin(F.broadcast(mid)).select("n", "w", (F.col(f"r_{x}") - (F.col("n") + 1) / 2.0).alias("a"), (F.col(f"r_{y}") - (F.col("n") + 1) / 2.0).alias("b"))
+    rho = F.try_divide(F.sum(w * a * b), F.sqrt(F.sum(w * a * a) * F.sum(w * b * b)))
+    return d.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("rho"))
+
+
 def chance(sizes: DataFrame) -> DataFrame:
     """M18 in closed form: expected recall k/M and expected Jaccard of two random k-sets."""
     k = F.least(T.budget(F.col("m")), F.col("m").cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.operators import wmd as W
 
 
 def ranked(scores: DataFrame, key: str, item: str, score: str) -> DataFrame:
@@ -59,20 +60,42 @@ def mmr_select(df: DataFrame, key: str, item: str, score: str, vec: str, lam: fl
 
 
 def threshold_filter(order: list[int], far, delta: float, k: int) -> tuple[list[int], int, int]:
-    """TK6: in the given order, what is at least ``delta`` from all accepted; (accepted, evaluated, rejected)."""
+    """TK6: in the given order, what is at least ``delta`` from all accepted, as ``far(i, accepted, delta)`` says; (accepted, evaluated, rejected)."""
     out: list[int] = []
     evaluated = rejected = 0
     for i in order:
         if len(out) >= k:
             break
         evaluated += 1
-        if all(far(i, j, delta) for j in out):
+        if far(i, out, delta):
             out.append(i)
         else:
             rejected += 1
     return out, evaluated, rejected
 
 
+def threshold_select(x: DataFrame, deltas: tuple[float, ...]) -> DataFrame:
+    """TK6 on exact transport, a row for each document and delta; (doc_id, sent_idx, score, toks) rows.
+
+    The best score comes first, ties to the higher index.  The number of partitions is stated, so that few bytes
+    with much work in them are not put into one task.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["score", "sent_idx"], ascending=False)
+        bags = {i: W.Bag(list(t)) for i, t in zip(g.sent_idx, g.toks, strict=True)}
+        k, rows = min(budget_of(len(g)), len(g)), []
+        for delta in deltas:
+            picked, seen, out = threshold_filter(list(g.sent_idx), lambda i, got, far: W.all_at_least(bags[i], [bags[j] for j in got], far), delta, k)
+            rows.append((g.doc_id.iloc[0], delta, picked, sorted(picked), k, seen, out, len(picked) / k, len(picked) < k))
+        return pd.DataFrame(rows, columns=["doc_id", "delta", "selected", "ordered", "k_i", "num_evaluated", "num_rejected", "budget_fulfillment", "under_filled"])
+
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.select("doc_id", "sent_idx", "score", "toks").repartition(n, "doc_id").groupBy("doc_id").applyInPandas(
+        run, "doc_id long, delta double, selected array<int>, ordered array<int>, k_i int, num_evaluated int, num_rejected int, budget_fulfillment double, under_filled boolean"
+    )
+
+
 def stratified_sample(sizes: DataFrame) -> DataFrame:
     """TK12: all short documents and 11 next to them, 20 of 50..350, 15 of over 500, by hash."""
     h = F.md5(F.col("doc_id").cast("string"))

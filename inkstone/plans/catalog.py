@@ -47,10 +47,10 @@ def _scores(spark, d) -> DataFrame:
     return x.join(s, ["doc_id", "sent_idx"]).withColumn("score", G.linear_proxy())
 
 
-def _labels(spark, d) -> DataFrame:
+def _labels(spark, d, stemmed: bool = False) -> DataFrame:
     b = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
     ref = C.sentences(b).select((F.col("doc_id") * 1000 + F.col("sent_idx")).alias("ref_idx"), "sent")
-    return C.labels(_sents(spark, d), ref)
+    return C.labels(_sents(spark, d), ref, stemmed)
 
 
 # ---- SQL building blocks -------------------------------------------------
@@ -297,18 +297,75 @@ SQL["mmr_select_3"] = _MMR.replace("{lam}", "0.3")
 SQL["mmr_select_7"] = _MMR.replace("{lam}", "0.7")
 
 
-def threshold_select(spark, d, delta: float = 1.15):
-    """TK6 on exact transport: greedy and data-dependent, so without SQL."""
-    x = _scores(spark, d).select("doc_id", "sent_idx", "score", T.tokens_a(F.col("sent")).alias("toks"))
+def _token_scores(spark, d) -> DataFrame:
+    return _scores(spark, d).select("doc_id", "sent_idx", "score", T.tokens_a(F.col("sent")).alias("toks"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "sent_idx"], ascending=False)
-        toks = dict(zip(g.sent_idx, map(list, g.toks), strict=True))
-        k = min(S.budget_of(len(g)), len(g))
-        picked, seen, out = S.threshold_filter(list(g.sent_idx), lambda i, j, x: W.at_least(toks[i], toks[j], x), delta, k)
-        return pd.DataFrame({"doc_id": [g.doc_id.iloc[0]], "selected": [picked], "ordered": [sorted(picked)], "k_i": [k], "num_evaluated": [seen], "num_rejected": [out], "budget_fulfillment": [len(picked) / k], "under_filled": [len(picked) < k]})
 
-    return x.groupBy("doc_id").applyInPandas(run, "doc_id long, selected array<int>, ordered array<int>, k_i int, num_evaluated int, num_rejected int, budget_fulfillment double, under_filled boolean")
+@query()
+def threshold_select(spark, d):
+    """TK6 at the chosen delta: greedy and data-dependent, so without SQL."""
+    return S.threshold_select(_token_scores(spark, d), (1.15,)).drop("delta")
+
+
+@query()
+def delta_sweep(spark, d):
+    """ML9, AG16: the threshold filter at four deltas, a document's sentences read once for all of them."""
+    x = S.threshold_select(_token_scores(spark, d), (1.0, 1.15, 1.25, 1.35))
+    under = F.count(F.when(F.col("under_filled"), 1))
+    return x.groupBy("delta").agg(
+        F.count("*").alias("n_docs"), F.round(F.avg(F.size("selected")), 6).alias("avg_sentences"), F.round(F.avg("budget_fulfillment"), 6).alias("fulfillment_mean"),
+        F.round(F.stddev_pop("budget_fulfillment"), 6).alias("fulfillment_std"), under.alias("under_filled_count"), F.round(100.0 * under / F.count("*"), 6).alias("under_filled_pct"),
+    )
+
+
+LAMBDAS = (0.3, 0.5, 0.7, 0.9)
+_SWEPT = " UNION ALL ".join(f"SELECT {lam}::DOUBLE AS lam, label, vec_id FROM ({_MMR.replace('{lam}', str(lam))})" for lam in LAMBDAS)
+
+
+@query(f"SELECT lam, count(DISTINCT label) AS n_docs, count(*) AS n_selected, round(avg((vec_id * 7919 % 1009) / 1009.0), 6) AS mean_score FROM ({_SWEPT}) GROUP BY 1")
+def lambda_sweep(spark, d):
+    """ML9: MMR at four lambdas."""
+    rows = [_mmr(lam)(spark, d).select(F.lit(lam).alias("lam"), "label", "vec_id") for lam in LAMBDAS]
+    x = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    return x.groupBy("lam").agg(F.count_distinct("label").alias("n_docs"), F.count("*").alias("n_selected"), F.round(F.avg(F.pmod(F.col("vec_id") * 7919, F.lit(1009)) / 1009.0), 6).alias("mean_score"))
+
+
+@query(f"{_BASE} SELECT count(*) AS n, count(*) FILTER (round_even(0.05::DOUBLE * m, 0) < 3) AS n_floor, round(avg({_BUD}), 6) AS avg_k, quantile_cont({_BUD}, 0.5) AS median_k, min({_BUD}) AS min_k, max({_BUD}) AS max_k FROM (SELECT doc_id, count(*) AS m FROM s GROUP BY 1)")
+def k_audit(spark, d):
+    """AG25: how budgets spread and how often the floor of three decides."""
+    k = T.budget(F.col("m"))
+    x = C.sizes(_sents(spark, d)).select(k.alias("k"), (T.budget(F.col("m"), least=0) < 3).alias("low"))
+    return x.agg(F.count("*").alias("n"), F.count(F.when(F.col("low"), 1)).alias("n_floor"), F.round(F.avg("k"), 6).alias("avg_k"), F.expr("percentile(k, 0.5)").alias("median_k"), F.min("k").alias("min_k"), F.max("k").alias("max_k"))
+
+
+@query(f"{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1), e AS (SELECT doc_id, m, sum(m) OVER (ORDER BY doc_id) AS e FROM m) SELECT doc_id, (e - m)::BIGINT AS start_idx, e::BIGINT AS end_idx, m::INT AS num_sentences FROM e")
+def row_offsets(spark, d):
+    return C.row_offsets(C.sizes(_sents(spark, d)))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20")
+def spot_check(spark, d):
+    """TK14: 20 rows in hash order, the same on every run."""
+    return spark.read.parquet(f"{d}/documents.parquet").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(20).select("doc_id", "lang", "n_chars")
+
+
+@query(f"{_BASE}, {_ROUGE}, r AS (SELECT doc_id, sent_idx, y, row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, sent_idx) AS hi, row_number() OVER (PARTITION BY doc_id ORDER BY y, sent_idx) AS lo FROM y) SELECT doc_id, sent_idx, y, hi <= 5 AS is_top, lo <= 2 AS is_bottom FROM r WHERE hi <= 5 OR lo <= 2")
+def label_extremes(spark, d):
+    """TK8: the five best and two worst labels of each document."""
+    w = S.Window.partitionBy("doc_id")
+    x = _labels(spark, d).select("doc_id", "sent_idx", "y", F.row_number().over(w.orderBy(F.desc("y"), "sent_idx")).alias("hi"), F.row_number().over(w.orderBy("y", "sent_idx")).alias("lo"))
+    return x.where("hi <= 5 or lo <= 2").select("doc_id", "sent_idx", "y", (F.col("hi") <= 5).alias("is_top"), (F.col("lo") <= 2).alias("is_bottom"))
+
+
+@query()
+def rouge_label_stemmed(spark, d):
+    """M10 with ST14's stemmer, which has no SQL."""
+    return _labels(spark, d, stemmed=True)
+
+
+@query(f"{_SCORED}, r AS (SELECT rank() OVER (ORDER BY tfidf) + (count(*) OVER (PARTITION BY tfidf) - 1) / 2.0 AS rx, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ry FROM sc) SELECT count(*) AS n, round(coalesce(corr(rx, ry), 0), 6) AS rho FROM r")
+def global_spearman(spark, d):
+    return E.global_spearman(_scores(spark, d).select("tfidf", "score"), "tfidf", "score")
 
 
 @query(f"""{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1), x AS (SELECT *, CASE WHEN m < 20 THEN 'short' WHEN m <= 45 THEN 'edge' WHEN m BETWEEN 50 AND 350 THEN 'medium' WHEN m > 500 THEN 'long' END AS stratum FROM m),
@@ -344,10 +401,12 @@ def rwmd_previous(spark, d):
     return side("a").join(side("b"), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", F.round(F.greatest("da", "db"), 4).alias("dist"))
 
 
+@query()
 def wmd_exact(spark, d):
     """Exact distance of every sentence to the one before it (M7, W7); 0 for the first."""
     x = _sents(spark, d).select("doc_id", "sent_idx", T.tokens_a(F.col("sent")).alias("toks"))
-    x = x.withColumn("prev", F.lag("toks").over(S.Window.partitionBy("doc_id").orderBy("sent_idx")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = x.repartition(n, "doc_id").withColumn("prev", F.lag("toks").over(S.Window.partitionBy("doc_id").orderBy("sent_idx")))
 
     def run(batches):
         for b in batches:

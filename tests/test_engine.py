@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.functions.stem import stem
+from inkstone.operators import corpus as C
 from inkstone.operators import evaluation as E
 from inkstone.operators import scoring as G
 from inkstone.operators import selection as S
@@ -31,7 +33,7 @@ def test_mmr_fixtures():
 
 
 def test_threshold_filter():
-    far = lambda a, b, d: W.at_least(a and toks[a - 1] or toks[a - 1], toks[b - 1], d)
+    far = lambda a, got, d: W.all_at_least(W.Bag(toks[a - 1]), [W.Bag(toks[b - 1]) for b in got], d)
     toks = [["a"], ["a"], [], [], ["b"]]
     assert S.threshold_filter([1, 2], far, 0.5, 2) == ([1], 2, 1)
     assert S.threshold_filter([3, 4], far, 0.5, 2) == ([3], 2, 1)
@@ -119,3 +121,48 @@ def test_io(spark, tmp_path):
     assert {r.doc_id for r in io.read_split(pairs, ids, 1).collect()} == {"2"}
     (tmp_path / "c.json").write_text('{"1": ["a", {"text": "b"}, {"sentence": "c"}]}')
     assert [r.sent for r in io.read_sentence_cache(spark, str(tmp_path / "c.json")).orderBy("sent_idx").collect()] == ["a", "b", "c"]
+
+
+def test_stem():
+    # Examples of the published algorithm.
+    pairs = "caresses caress ponies poni ties ti agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop filing file happy happi relational relat digitizer digit decisiveness decis triplicate triplic electrical electr adjustable adjust adoption adopt effective effect probate probat rate rate controll control was was".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_stemmed_labels(spark):
+    src = spark.createDataFrame([(1, 0, "Appeals dismissed"), (1, 1, ""), (1, 2, "nothing shared")], "doc_id long, sent_idx int, sent string")
+    ref = spark.createDataFrame([(7, "appeal dismissing")], "ref_idx long, sent string")
+    got = {r.sent_idx: (r.y, r.match_idx) for r in C.labels(src, ref, stemmed=True).collect()}
+    assert got == {0: (1.0, 7), 1: (0.0, -1), 2: (0.0, -1)}
+    assert {r.y for r in C.labels(src, ref).collect()} == {0.0}
+
+
+def test_bounds_agree_with_exact_transport():
+    rng = np.random.default_rng(5)
+    bags = [[f"w{i}" for i in rng.integers(0, 12, n)] for n in rng.integers(0, 9, 40)]
+    for a in bags:
+        for delta in (0.0, 0.4, 0.8, 1.15, 3.0, 3.1):
+            want = all(W.wmd(a, b) >= delta for b in bags[:6])
+            assert W.all_at_least(W.Bag(a), [W.Bag(b) for b in bags[:6]], delta) == want
+
+
+def test_threshold_select(spark):
+    rows = [(1, 0, 0.9, ["a", "b"]), (1, 1, 0.8, ["a", "b"]), (1, 2, 0.7, []), (1, 3, 0.6, []), (2, 0, 0.1, [])]
+    df = spark.createDataFrame(rows, "doc_id long, sent_idx int, score double, toks array<string>")
+    got = {(r.doc_id, r.delta): (r.selected, r.num_evaluated, r.num_rejected, r.under_filled) for r in S.threshold_select(df, (0.5, 3.0)).collect()}
+    assert got == {(1, d): ([0, 2], 4, 2, True) for d in (0.5, 3.0)} | {(2, d): ([0], 1, 0, False) for d in (0.5, 3.0)}
+    assert S.threshold_select(df.limit(0), (0.5,)).count() == 0
+
+
+def test_row_offsets(spark):
+    df = spark.createDataFrame([(5, 2), (1, 3), (70_000, 4), (9, 1)], "doc_id long, m int")
+    got = {r.doc_id: (r.start_idx, r.end_idx, r.num_sentences) for r in C.row_offsets(df).collect()}
+    assert got == {1: (0, 3, 3), 5: (3, 5, 2), 9: (5, 6, 1), 70_000: (6, 10, 4)}
+
+
+def test_global_spearman(spark):
+    df = spark.createDataFrame([(1.0, 9.0), (2.0, 7.0), (2.0, 7.0), (3.0, 8.0)], "x double, y double")
+    want = round(float(np.corrcoef([1, 2.5, 2.5, 4], [4, 1.5, 1.5, 3])[0, 1]), 6)
+    assert tuple(E.global_spearman(df, "x", "y").first()) == (4, want)
+    assert tuple(E.global_spearman(df.limit(1), "x", "y").first()) == (1, 0.0)
+    assert tuple(E.global_spearman(df.limit(0), "x", "y").first()) == (0, 0.0)
