@@ -307,7 +307,6 @@ def threshold_select(spark, d):
     return S.threshold_select(_token_scores(spark, d), (1.15,)).drop("delta")
 
 
-@query()
 def delta_sweep(spark, d):
     """ML9, AG16: the threshold filter at four deltas, a document's sentences read once for all of them."""
     x = S.threshold_select(_token_scores(spark, d), (1.0, 1.15, 1.25, 1.35))
