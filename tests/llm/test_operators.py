@@ -229,3 +229,14 @@ def test_pipeline_stages(spark):
         ids, _ = lib.encode([texts[r.doc_id] or ""])
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest()
     assert F.lit(1) is not None
+
+
+def test_first_occurrences_hash_alike_with_and_without_repeats():
+    import numpy as np
+
+    from inkstone.llm import order_minhash as om
+
+    once = np.arange(100, 140, dtype=np.uint64)
+    twice = np.r_[once, once[:1]]
+    assert (om.labelled(once) == om.labelled(twice)[:-1]).all()
+    assert om.labelled(twice)[-1] not in om.labelled(once)
