@@ -524,12 +524,13 @@ def alignment_audit(spark, d):
 
 @query()
 def gbt_scores(spark, d):
-    """ML5/ML6 on ROUGE labels; a small forest, as trees have no SQL."""
-    x = _scores(spark, d).join(_labels(spark, d), ["doc_id", "sent_idx"]).withColumn("ner", T.ner_proxy(F.col("sent")).cast("double"))
-    split = S.hash_split(_docs(spark, d))
-    x = x.join(split, "doc_id").select("doc_id", "sent_idx", "tfidf", "pos", "ner", "y", "part").cache()
-    f = ("tfidf", "ner", "pos")
-    return G.predict(G.fit(x.where("part = 'train'"), f, trees=10), x, f).select("doc_id", "sent_idx", "part", "y", "y_hat")
+    """ML5/ML6 on ROUGE labels: all trees, the features of C3; the cosine is that of hash vectors, which stand in for sentence embeddings."""
+    s, f = _sents(spark, d), G.features_of("C3")
+    cos = C.centroid_cosine(C.sentence_vectors(s), "doc_id", "sent_idx", "vec", V.DIM).select("doc_id", "sent_idx", "cos")
+    x = _scores(spark, d).join(_labels(spark, d), ["doc_id", "sent_idx"]).join(cos, ["doc_id", "sent_idx"], "left")
+    x = x.withColumn("ner", T.ner_proxy(F.col("sent")).cast("double")).withColumn("cosine_sbert", F.coalesce("cos", F.lit(0.0))).withColumnRenamed("pos", "position")
+    x = x.join(S.hash_split(_docs(spark, d)), "doc_id").select("doc_id", "sent_idx", *f, "y", "part").cache()
+    return G.predict(G.fit(x.where("part = 'train'"), f), x, f).select("doc_id", "sent_idx", "part", "y", "y_hat")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
