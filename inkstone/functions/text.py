@@ -29,6 +29,7 @@ CITATIONS = (
 )
 # fixed values: marks of scanning errors
 OCR_MARKERS = ("vil Appeal", "minal Appeal", "rit Petition", "pecial Leave", "ivil Appeal")
+# fixed values: nouns of proceedings, and fragments before them that are words
 OCR_NOUNS = ("Appeal", "Petition", "Application", "Suit", "Reference", "Revision")
 OCR_ALLOWED = ("in", "the", "this", "an", "cross", "first", "second", "leave")
 # fixed values: English words without weight; legal terms such as "held" are not among them
@@ -53,6 +54,11 @@ def is_blank(t: Column) -> Column:
     return t.isNull() | (F.length(strip(t)) == 0)
 
 
+def is_near_empty(t: Column, least: int = 50) -> Column:
+    """PF2: under ``least`` characters without the white space around them."""
+    return F.length(strip(F.coalesce(t, F.lit("")))) < least
+
+
 def protect_dates(t: Column) -> Column:
     """ST2: the dots inside day.month.year; white space before the year goes."""
     return F.regexp_replace(t, r"(?U)\b(\d{1,2}(?:/\d{1,2})?)\.(\d{1,2})\.\s*(\d{2,4})\b", f"$1{DOT}$2{DOT}$3")
@@ -100,18 +106,20 @@ def legal_sentences(t: Column) -> Column:
     return F.transform(rule_sentences(protect_citations(t)), restore)
 
 
-def words(t: Column) -> Column:
-    return F.split(F.lower(t), r"[^\p{L}\p{N}_]+")
+def _whole(t: Column, word: str) -> Column:
+    """Whole words of a form in lower case, without stopwords; one pass of one pattern, and a hash look-up a word."""
+    found = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*STOPWORDS))
 
 
 def tokens_a(t: Column) -> Column:
     """ST10: letters and digits, no stopwords; the lemma is the word."""
-    return F.filter(words(t), lambda w: w.rlike(r"^[\p{L}\p{N}]+$") & ~F.array_contains(lit_list(STOPWORDS), w))
+    return _whole(t, r"[\p{L}\p{N}]++")
 
 
 def tokens_b(t: Column) -> Column:
     """ST11: words of two or more a-z, no stopwords."""
-    return F.filter(words(t), lambda w: w.rlike("^[a-z]{2,}$") & ~F.array_contains(lit_list(STOPWORDS), w))
+    return _whole(t, "[a-z]{2,}+")
 
 
 def tokens_rouge(t: Column) -> Column:
@@ -150,6 +158,7 @@ def entities_proxy(t: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"(\b[A-Z][a-z]+(?: [A-Z][a-z]+)*)")), lambda e: F.struct(e.alias("text"), F.lit("PROXY").alias("label")))
 
 
+# fixed values: the three patterns below, and the prefix of 3,000 characters in which they look
 def ocr_truncated(t: Column) -> Column:
     """PF6: the first line of the prefix that begins with a fragment before a proceeding's noun."""
     found = F.lower(F.regexp_extract(F.substring(t, 1, 3000), rf"(?:^|\n){WS}*([a-z]{{1,5}}){WS}+(?:{'|'.join(OCR_NOUNS)})\b", 1))

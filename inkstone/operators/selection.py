@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,10 @@ from inkstone.operators import wmd as W
 
 
 def ranked(scores: DataFrame, key: str, item: str, score: str) -> DataFrame:
-    """Rn, 1 for the best; ties go to the higher index.  m is the number of items."""
+    """Rn, 1 for the best; ties go to the higher index.  m is the number of items, counted where the rows lack it."""
     w = Window.partitionBy(key)
-    return scores.withColumn("rn", F.row_number().over(w.orderBy(F.desc(score), F.desc(item)))).withColumn("m", F.count("*").over(w))
+    scores = scores.withColumn("rn", F.row_number().over(w.orderBy(F.desc(score), F.desc(item))))
+    return scores if "m" in scores.columns else scores.withColumn("m", F.count("*").over(w))
 
 
 def top_k(scores: DataFrame, key: str = "doc_id", item: str = "sent_idx", score: str = "score") -> DataFrame:
@@ -59,19 +63,28 @@ def mmr_select(df: DataFrame, key: str, item: str, score: str, vec: str, lam: fl
     return df.select(key, item, score, vec).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, step int, {item} {kinds[item]}, under_filled boolean")
 
 
-def threshold_filter(order: list[int], far, delta: float, k: int) -> tuple[list[int], int, int]:
-    """TK6: in the given order, what is at least ``delta`` from all accepted, as ``far(i, accepted, delta)`` says; (accepted, evaluated, rejected)."""
-    out: list[int] = []
-    evaluated = rejected = 0
-    for i in order:
-        if len(out) >= k:
-            break
-        evaluated += 1
-        if far(i, out, delta):
-            out.append(i)
-        else:
-            rejected += 1
-    return out, evaluated, rejected
+def mmr_lists(df: DataFrame, lam: float) -> DataFrame:
+    """``df`` without ``scores`` and ``vecs``, with ``picked`` and ``ordered``: TK5 over rows that each hold a document.
+
+    ``scores`` is an array, ``vecs`` holds (sent_idx, vec) of the sentences that have a vector.  A document is a row
+    already, so nothing is grouped or moved.
+    """
+    kinds, kind = dict(df.dtypes), pa.list_(pa.int32())
+    others = [c for c in df.columns if c not in ("scores", "vecs")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index
+            out = []
+            for scores, vecs in zip(b.column(at("scores")), b.column(at("vecs")).to_pylist(), strict=True):
+                x = scores.values.to_numpy(zero_copy_only=False)
+                v = np.zeros((len(x), len(vecs[0]["vec"]) if vecs else 1))
+                for r in vecs or ():
+                    v[r["sent_idx"]] = r["vec"]
+                out.append(mmr(x, v, budget_of(len(x)), lam))
+            yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in others), pa.array(out, kind), pa.array([sorted(x) for x in out], kind)], [*others, "picked", "ordered"])
+
+    return df.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", picked array<int>, ordered array<int>")
 
 
 def threshold_select(x: DataFrame, deltas: tuple[float, ...]) -> DataFrame:
@@ -83,10 +96,11 @@ def threshold_select(x: DataFrame, deltas: tuple[float, ...]) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "sent_idx"], ascending=False)
-        bags = {i: W.Bag(list(t)) for i, t in zip(g.sent_idx, g.toks, strict=True)}
+        bags, place = [W.Bag(list(t)) for t in g.toks], list(g.sent_idx)
         k, rows = min(budget_of(len(g)), len(g)), []
         for delta in deltas:
-            picked, seen, out = threshold_filter(list(g.sent_idx), lambda i, got, far: W.all_at_least(bags[i], [bags[j] for j in got], far), delta, k)
+            at, seen, out = W.threshold_filter(bags, delta, k)
+            picked = [place[i] for i in at]
             rows.append((g.doc_id.iloc[0], delta, picked, sorted(picked), k, seen, out, len(picked) / k, len(picked) < k))
         return pd.DataFrame(rows, columns=["doc_id", "delta", "selected", "ordered", "k_i", "num_evaluated", "num_rejected", "budget_fulfillment", "under_filled"])
 
@@ -107,28 +121,53 @@ def stratified_sample(sizes: DataFrame) -> DataFrame:
     return x.where((F.col("stratum") == "short") | (F.col("rn") <= most)).select("doc_id", "m", "stratum")
 
 
-def hash_split(docs: DataFrame, val: float = 0.15, test: int = 100) -> DataFrame:
-    """SO5/SO6: by md5 order the first ``test`` documents, then a ``val`` share of the rest, then train.
+def hash_split(docs: DataFrame, val: float = 0.15, test: int = 100, ids: list[DataFrame] | None = None) -> DataFrame:
+    """SO5/SO6: (doc_id, part): by md5 order the first ``test`` documents, then a ``val`` share of the rest, then train.
 
-    The cuts are two order statistics of the hashes; no row number over all documents is made.
+    ``ids`` are frozen lists (test, val) that replace the rule; fewer documents than ``test`` raise.  The cuts are two
+    order statistics of the hashes, both narrowed at once by counts of 4,096 ranges: a scan or two of the ids, no
+    row number over all documents, and at most 8,192 rows at the driver.
     """
-    h = docs.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    if ids is not None:
+        known = ids[0].select("doc_id", F.lit("test").alias("part")).unionByName(ids[1].select("doc_id", F.lit("val").alias("part"))).distinct()
+        return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("part", F.lit("train")).alias("part"))
+    h = docs.select("doc_id", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
     n = h.count()
-    n_test = min(test, n)
-    n_val = int((n - n_test) * val)
-    ends = [r.h for r in h.orderBy("h").limit(n_test).select("h").collect()]
-    end_test = ends[-1] if ends else ""
-    # the validation cut: the hash below which n_test + n_val documents lie, found by narrowing hex prefixes
-    prefix, below, want = "", 0, n_test + n_val
-    for depth in range(1, 33):
-        rows = h.where(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, depth).alias("p")).count().orderBy("p").collect() if want else []
-        for r in rows:  # at most 16
-            if below + r["count"] >= want:
-                prefix = r.p
-                break
-            below += r["count"]
-        if not rows or (below + r["count"] == want):
+    if n < test:
+        raise ValueError(f"{n} documents are too few for {test} test documents")
+    wants, cuts = [test, test + int((n - test) * val)], [(0, 0), (0, 0)]  # prefix, documents below it
+    for bits in (48, 36, 24, 12, 0):
+        prefixes = {p for p, _ in cuts}
+        top = h.where(F.shiftright("h", bits + 12).isin(list(prefixes))).groupBy(F.shiftright("h", bits).alias("b")).count().collect()
+        counts = {r.b: r["count"] for r in top}
+        done = True
+        for i, (p, below) in enumerate(cuts):
+            at = p << 12
+            while at < (p + 1) << 12 and below + counts.get(at, 0) < wants[i]:
+                below += counts.get(at, 0)
+                at += 1
+            cuts[i] = (at, below)
+            done = done and below + counts.get(at, 0) == wants[i]
+        if done or not bits:
             break
-    end_val = prefix + "g"  # after every hash that begins so
-    part = F.when(F.col("h") <= end_test, "test").when((F.col("h") < end_val) & F.lit(bool(n_val)), "val").otherwise("train") if n_test else F.lit("train")
-    return h.select("doc_id", part.alias("part"))
+    ends = [((p + 1) << bits) - 1 if want else -1 for (p, _), want in zip(cuts, wants, strict=True)]
+    return h.select("doc_id", F.when(F.col("h") <= ends[0], "test").when(F.col("h") <= ends[1], "val").otherwise("train").alias("part"))
+
+
+def first_seen(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """SO7: (key, place): distinct keys by where each is first."""
+    return rows.groupBy(key).agg(F.min(place).alias(place)).orderBy(place, key)
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str = "doc_id") -> int:
+    """How many keys, as text (J10), both tables hold; a split must have none."""
+    return a.select(F.col(key).cast("string").alias("k")).intersect(b.select(F.col(key).cast("string").alias("k"))).count()
+
+
+def sample_is_whole(sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """TK12's assertion: the sample, or an error where a stratum has other than its quota."""
+    got = {r.stratum: r["count"] for r in sample.groupBy("stratum").count().collect()}  # a row a stratum
+    wrong = {k: (got.get(k, 0), n) for k, n in quotas.items() if got.get(k, 0) != n}
+    if wrong:
+        raise ValueError(f"strata with other sizes than wanted: {wrong}")
+    return sample

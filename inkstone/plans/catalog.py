@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,27 +31,42 @@ def query(sql: str | None = None):
     return add
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+def _docs(spark: SparkSession, d: str, by_document: bool = False) -> DataFrame:
+    return C.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), by_document)
+
+
+def _count(spark, d) -> int:
+    return spark.read.parquet(f"{d}/documents.parquet").count()
 
 
 def _sents(spark, d) -> DataFrame:
     return C.sentences(_docs(spark, d))
 
 
+def _vocab(spark, d) -> DataFrame:
+    return C.vocabulary(C.document_terms(_docs(spark, d, True)), _count(spark, d))
+
+
+def _lists(spark, d) -> DataFrame:
+    """(doc_id, sents, tfidf): arrays, a row a document."""
+    return C.scored_lists(_docs(spark, d, True), _vocab(spark, d))
+
+
 def _scores(spark, d) -> DataFrame:
-    """(doc_id, sent_idx, sent, tfidf, pos, score): the deterministic score behind selection queries."""
-    s = _sents(spark, d)
-    t = C.terms(s)
-    vocab = C.vocabulary(t, _docs(spark, d).count())
-    x = C.tfidf_sum(s, t, vocab).join(C.position(s), ["doc_id", "sent_idx"])
-    return x.join(s, ["doc_id", "sent_idx"]).withColumn("score", G.linear_proxy())
+    """(doc_id, sent_idx, sent, tfidf, pos, score, m): the deterministic score behind selection queries."""
+    x = _lists(spark, d).select("doc_id", F.size("sents").alias("m"), F.posexplode(F.arrays_zip("sents", "tfidf")).alias("sent_idx", "x"))
+    x = x.select("doc_id", "sent_idx", F.col("x.sents").alias("sent"), F.col("x.tfidf").alias("tfidf"), "m")
+    return x.withColumn("pos", F.round(F.col("sent_idx") / F.col("m"), 6)).withColumn("score", G.linear_proxy())
 
 
-def _labels(spark, d, stemmed: bool = False) -> DataFrame:
+def _references(spark, d) -> DataFrame:
+    """(doc_id, ref_idx, sent): the reference texts, each that of the document of its id."""
     b = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    ref = C.sentences(b).select((F.col("doc_id") * 1000 + F.col("sent_idx")).alias("ref_idx"), "sent")
-    return C.labels(_sents(spark, d), ref, stemmed)
+    return C.sentences(b).select("doc_id", F.col("sent_idx").alias("ref_idx"), "sent")
+
+
+def _labels(spark, d, stemmed: bool = False) -> DataFrame:
+    return C.labels(_sents(spark, d), _references(spark, d), stemmed)
 
 
 # ---- SQL building blocks -------------------------------------------------
@@ -69,14 +85,26 @@ _BUD = "greatest(3, round_even(0.05::DOUBLE * m, 0)::INT)"
 _RK = f"rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_idx DESC) AS rn, {_BUD} AS k FROM sc)"
 _BASE = f"WITH {_S}"
 _SCORED = f"WITH {_S}, {_T}, {_N}, {_VOC}, {_TS}, {_SC}, {_RK}"
-_ROUGE = rf"""a AS (SELECT doc_id, sent_idx, unnest(list_filter(regexp_split_to_array(lower(sent), '[^a-z0-9]+'), lambda x: length(x) > 0)) AS tok FROM s),
-bs AS (SELECT item_id, unnest(range(len(p))) AS i, unnest(p) AS sent FROM (SELECT item_id, {_SPLIT} AS p FROM benchmark)),
-b AS (SELECT item_id * 1000 + i AS ref_idx, unnest(list_filter(regexp_split_to_array(lower(sent), '[^a-z0-9]+'), lambda x: length(x) > 0)) AS tok FROM bs),
-ca AS (SELECT doc_id, sent_idx, tok, count(*) AS c FROM a GROUP BY ALL), cb AS (SELECT ref_idx, tok, count(*) AS c FROM b GROUP BY ALL),
-na AS (SELECT doc_id, sent_idx, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT ref_idx, count(*) AS n FROM b GROUP BY ALL),
-h AS (SELECT doc_id, sent_idx, ref_idx, sum(least(ca.c, cb.c)) AS hits FROM ca JOIN cb USING (tok) WHERE tok NOT IN {_STOP} GROUP BY ALL),
-f AS (SELECT h.doc_id, h.sent_idx, ref_idx, 2.0::DOUBLE * hits / (na.n + nb.n) AS f1 FROM h JOIN nb USING (ref_idx) JOIN na USING (doc_id, sent_idx)),
-y AS (SELECT s.doc_id, s.sent_idx, round(coalesce(f1, 0), 6) AS y, coalesce(ref_idx, -1) AS match_idx FROM s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY f1 DESC, ref_idx) AS r FROM f) q ON s.doc_id = q.doc_id AND s.sent_idx = q.sent_idx AND r = 1)"""
+_ROUGE_TOK = "list_filter(regexp_split_to_array(lower(sent), '[^a-z0-9]+'), lambda x: length(x) > 0)"
+
+
+def _rouge(tok: str = "tok") -> str:
+    """Labels from the definition: F1 of clipped unigram counts over all tokens, within a document; ``tok`` may map a token."""
+    return rf"""sr AS (SELECT * FROM s WHERE doc_id IN (SELECT item_id FROM benchmark WHERE len({_SPLIT}) > 0)),
+rs AS (SELECT doc_id, unnest(range(len(p)))::INT AS ref_idx, unnest(p) AS sent FROM (SELECT item_id AS doc_id, {_SPLIT} AS p FROM benchmark)),
+a AS (SELECT doc_id, sent_idx, {tok} AS tok FROM (SELECT doc_id, sent_idx, unnest({_ROUGE_TOK}) AS tok FROM sr)),
+b AS (SELECT doc_id, ref_idx, {tok} AS tok FROM (SELECT doc_id, ref_idx, unnest({_ROUGE_TOK}) AS tok FROM rs)),
+ca AS (SELECT doc_id, sent_idx, tok, count(*) AS c FROM a GROUP BY ALL), cb AS (SELECT doc_id, ref_idx, tok, count(*) AS c FROM b GROUP BY ALL),
+na AS (SELECT doc_id, sent_idx, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT doc_id, ref_idx, count(*) AS n FROM b GROUP BY ALL),
+h AS (SELECT doc_id, sent_idx, ref_idx, sum(least(ca.c, cb.c)) AS hits FROM ca JOIN cb USING (doc_id, tok) GROUP BY ALL),
+pr AS (SELECT h.doc_id, h.sent_idx, h.ref_idx, hits::DOUBLE / na.n AS p, hits::DOUBLE / nb.n AS r FROM h JOIN nb USING (doc_id, ref_idx) JOIN na USING (doc_id, sent_idx)),
+f AS (SELECT doc_id, sent_idx, ref_idx, round(2 * p * r / (p + r), 12) AS f1 FROM pr),
+y AS (SELECT sr.doc_id, sr.sent_idx, round(coalesce(f1, 0), 6) AS y, coalesce(q.ref_idx, -1)::INT AS match_idx, coalesce(rs.sent, '') AS match_text FROM sr
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY f1 DESC, ref_idx) AS rk FROM f) q ON sr.doc_id = q.doc_id AND sr.sent_idx = q.sent_idx AND q.rk = 1
+LEFT JOIN rs ON rs.doc_id = q.doc_id AND rs.ref_idx = q.ref_idx)"""
+
+
+_ROUGE = _rouge()
 
 
 # ---- sentences, tokens, text ---------------------------------------------
@@ -134,7 +162,7 @@ def ner_proxy(spark, d):
     return _sents(spark, d).select("doc_id", "sent_idx", T.ner_proxy(F.col("sent")).cast("long").alias("ner_proxy"))
 
 
-@query()
+@query("SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS text, 'PROXY' AS label FROM documents")
 def entities_proxy(spark, d):
     return _docs(spark, d).select("doc_id", F.explode(T.entities_proxy(F.col("text"))).alias("e")).select("doc_id", "e.text", "e.label")
 
@@ -155,18 +183,18 @@ def ocr_marker(spark, d):
 # ---- audits ----------------------------------------------------------------
 @query(f"{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1) SELECT CASE WHEN m < 20 THEN 'short' WHEN m <= 500 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n_docs, sum(m)::BIGINT AS n_sents, min(m) AS least, max(m) AS most, round(avg(m), 6) AS mean, sum(CASE WHEN m < 20 OR m > 500 THEN 1 ELSE 0 END)::BIGINT AS flagged FROM m GROUP BY 1")
 def doc_audit(spark, d):
-    m = C.sizes(_sents(spark, d))
+    m = C.sizes(_docs(spark, d))
     return m.groupBy(T.length_bucket(F.col("m")).alias("bucket")).agg(F.count("*").alias("n_docs"), F.sum("m").alias("n_sents"), F.min("m").alias("least"), F.max("m").alias("most"), F.round(F.avg("m"), 6).alias("mean"), F.sum((T.audit_flag(F.col("m")) != "ok").cast("long")).alias("flagged"))
 
 
 @query(f"{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM m) SELECT " + ", ".join(f"max(m) FILTER (i = floor(n * {p})) AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM o")
 def length_percentiles(spark, d):
-    return E.floor_percentiles(C.sizes(_sents(spark, d)), "m", [0.25, 0.5, 0.75, 0.95, 0.99])
+    return E.floor_percentiles(C.sizes(_docs(spark, d)), "m", [0.25, 0.5, 0.75, 0.95, 0.99])
 
 
 @query(f"{_BASE} SELECT doc_id, count(*) AS m FROM s GROUP BY 1 ORDER BY m DESC, doc_id LIMIT 10")
 def longest_docs(spark, d):
-    return C.sizes(_sents(spark, d)).orderBy(F.desc("m"), "doc_id").limit(10)
+    return C.sizes(_docs(spark, d)).orderBy(F.desc("m"), "doc_id").limit(10)
 
 
 @query(f"{_BASE} SELECT doc_id, sent_idx, left(sent, 150) || ' ... ' || right(sent, 80) AS snippet FROM s WHERE length(sent) > 500 ORDER BY doc_id, sent_idx LIMIT 100")
@@ -180,7 +208,7 @@ SELECT * FROM (SELECT 'short' AS pick, doc_id, m FROM m WHERE m < 20 ORDER BY m,
 SELECT * FROM (SELECT 'medium', doc_id, m FROM m WHERE m BETWEEN 70 AND 110 ORDER BY abs(m - 83), doc_id LIMIT 1) UNION ALL
 SELECT * FROM (SELECT 'long', doc_id, m FROM m WHERE m > 500 ORDER BY m DESC, doc_id LIMIT 1)""")
 def example_picks(spark, d):
-    m = C.sizes(_sents(spark, d))
+    m = C.sizes(_docs(spark, d))
     pick = lambda name, cond, *by: m.where(cond).orderBy(*by, "doc_id").limit(1).select(F.lit(name).alias("pick"), "doc_id", "m")
     return pick("short", "m < 20", "m").union(pick("medium", "m between 70 and 110", F.abs(F.col("m") - 83))).union(pick("long", "m > 500", F.desc("m")))
 
@@ -189,11 +217,11 @@ def example_picks(spark, d):
 o AS (SELECT doc_id, {" OR ".join(f"contains(coalesce(text, ''), '{m}')" for m in T.OCR_MARKERS)} AS o FROM documents)
 SELECT o.o, CASE WHEN k.doc_id IS NULL THEN 1 ELSE 0 END AS z FROM s JOIN o USING (doc_id) LEFT JOIN k ON s.doc_id = k.doc_id AND s.sent_idx = k.sent_idx) GROUP BY 1""")
 def oov_rate(spark, d):
-    s = _sents(spark, d)
-    t = C.terms(s)
-    known = t.join(F.broadcast(C.vocabulary(t, _docs(spark, d).count())), "term", "left_semi").select("doc_id", "sent_idx", F.lit(0).alias("k")).distinct()
-    o = _docs(spark, d).select("doc_id", F.when(T.ocr_marker(F.coalesce("text", F.lit(""))), "marked").otherwise("plain").alias("grp"))
-    x = s.select("doc_id", "sent_idx").join(known, ["doc_id", "sent_idx"], "left").join(o, "doc_id")
+    mark = F.when(T.ocr_marker(F.coalesce("text", F.lit(""))), "marked").otherwise("plain").alias("grp")
+    docs = _docs(spark, d, True).select("doc_id", T.rule_sentences(F.col("text")).alias("sents"), mark)
+    tok = docs.select("doc_id", "grp", F.posexplode("sents").alias("sent_idx", "sent")).select("doc_id", "grp", "sent_idx", F.explode_outer(T.tokens_b(F.col("sent"))).alias("term"))
+    known = tok.join(F.broadcast(_vocab(spark, d).select("term", F.lit(1).alias("k"))), "term", "left")
+    x = known.groupBy("doc_id", "sent_idx", "grp").agg(F.max("k").alias("k"))
     z = F.col("k").isNull().cast("long")
     return x.groupBy("grp").agg(F.count("*").alias("n"), F.sum(z).alias("oov"), F.round(100.0 * F.sum(z) / F.count("*"), 6).alias("pct"))
 
@@ -201,23 +229,20 @@ def oov_rate(spark, d):
 # ---- features ----------------------------------------------------------------
 @query(f"{_BASE}, {_T}, {_N}, {_VOC} SELECT term, df, round(idf, 6) AS idf FROM v")
 def vocab_df(spark, d):
-    return C.vocabulary(C.terms(_sents(spark, d)), _docs(spark, d).count()).withColumn("idf", F.round("idf", 6))
+    return _vocab(spark, d).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"{_BASE}, {_T}, {_N}, {_VOC}, {_TS} SELECT doc_id, sent_idx, tfidf FROM ts")
 def tfidf_sum(spark, d):
-    s = _sents(spark, d)
-    t = C.terms(s)
-    return C.tfidf_sum(s, t, C.vocabulary(t, _docs(spark, d).count()))
+    return C.tfidf_sum(C.sentences(_docs(spark, d, True)), _vocab(spark, d))
 
 
 @query(f"""{_BASE}, {_T}, {_N}, {_VOC}, dt AS (SELECT doc_id, term, sum(tf) AS tf FROM t GROUP BY ALL),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM dt JOIN v USING (term)), u AS (SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 4) AS w FROM w)
 SELECT doc_id, rank, term, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM u) WHERE rank <= 10""")
 def top_terms(spark, d):
-    t = C.terms(_sents(spark, d))
-    doc = t.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).withColumn("sent_idx", F.lit(0))
-    w = C.tfidf(doc, C.vocabulary(t, _docs(spark, d).count())).withColumn("w", F.round("w", 4))
+    doc = C.document_terms(_docs(spark, d, True)).withColumn("sent_idx", F.lit(0))
+    w = C.tfidf(doc, _vocab(spark, d)).withColumn("w", F.round("w", 4))
     by = S.Window.partitionBy("doc_id").orderBy(F.desc("w"), "term")
     return w.withColumn("rank", F.row_number().over(by)).where("rank <= 10").select("doc_id", "rank", "term", "w")
 
@@ -228,7 +253,7 @@ _WV = f"wt AS (SELECT doc_id, sent_idx, word, {_HV} AS v FROM (SELECT doc_id, se
 
 @query(f"{_BASE}, {_WV}, c AS (SELECT doc_id, [" + ", ".join(f"avg(v[{i}])" for i in range(1, 9)) + "] AS c FROM sv GROUP BY 1) SELECT doc_id, sent_idx, round(coalesce(list_cosine_similarity(v, c), 0), 6) AS cos FROM sv JOIN c USING (doc_id)")
 def w2v_sentence_cosine(spark, d):
-    return C.centroid_cosine(C.sentence_vectors(_sents(spark, d)), "doc_id", "sent_idx", "vec", V.DIM)
+    return C.centroid_cosine(C.sentence_vectors(C.sentences(_docs(spark, d, True))), "doc_id", "sent_idx", "vec", V.DIM)
 
 
 def _emb(normalize: bool) -> str:
@@ -250,19 +275,20 @@ def centroid_cosine_unit(spark, d):
 # ---- labels ------------------------------------------------------------------
 @query(f"{_BASE}, {_ROUGE} SELECT * FROM y")
 def rouge_label(spark, d):
-    return _labels(spark, d).withColumn("match_idx", F.col("match_idx").cast("long"))
+    return _labels(spark, d)
 
 
 @query(f"{_BASE}, {_ROUGE} SELECT count(*) AS n, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std, min(y) AS least, round(quantile_cont(y, 0.5), 6) AS median, round(quantile_cont(y, 0.75), 6) AS p75, round(quantile_cont(y, 0.9), 6) AS p90, max(y) AS most FROM y")
 def label_stats(spark, d):
     q = lambda p: F.round(F.expr(f"percentile(y, {p})"), 6)
-    return _labels(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.round(F.stddev_pop("y"), 6).alias("std"), F.min("y").alias("least"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.max("y").alias("most"))
+    x = _labels(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.round(F.stddev_pop("y"), 6).alias("std"), F.min("y").alias("least"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.max("y").alias("most"))
+    return x.fillna(0.0, ["mean", "std", "least", "median", "most"])  # AG7: zeros without rows, but no percentiles
 
 
 # ---- selection -----------------------------------------------------------------
 @query(f"{_BASE} SELECT doc_id, m, {_BUD} AS k FROM (SELECT doc_id, count(*) AS m FROM s GROUP BY 1)")
 def budget(spark, d):
-    return C.sizes(_sents(spark, d)).withColumn("k", T.budget(F.col("m")))
+    return C.sizes(_docs(spark, d)).withColumn("k", T.budget(F.col("m")))
 
 
 @query(f"{_SCORED} SELECT doc_id, sent_idx, rn FROM rk WHERE rn <= k")
@@ -293,8 +319,7 @@ def _mmr(lam: float):
 
 for _lam in (0.3, 0.5, 0.7, 0.9):
     QUERIES[f"mmr_select_{int(10 * _lam)}"] = _mmr(_lam)
-SQL["mmr_select_3"] = _MMR.replace("{lam}", "0.3")
-SQL["mmr_select_7"] = _MMR.replace("{lam}", "0.7")
+    SQL[f"mmr_select_{int(10 * _lam)}"] = _MMR.replace("{lam}", str(_lam))
 
 
 def _token_scores(spark, d) -> DataFrame:
@@ -307,6 +332,7 @@ def threshold_select(spark, d):
     return S.threshold_select(_token_scores(spark, d), (1.15,)).drop("delta")
 
 
+@query()
 def delta_sweep(spark, d):
     """ML9, AG16: the threshold filter at four deltas, a document's sentences read once for all of them."""
     x = S.threshold_select(_token_scores(spark, d), (1.0, 1.15, 1.25, 1.35))
@@ -333,13 +359,13 @@ def lambda_sweep(spark, d):
 def k_audit(spark, d):
     """AG25: how budgets spread and how often the floor of three decides."""
     k = T.budget(F.col("m"))
-    x = C.sizes(_sents(spark, d)).select(k.alias("k"), (T.budget(F.col("m"), least=0) < 3).alias("low"))
+    x = C.sizes(_docs(spark, d)).select(k.alias("k"), (T.budget(F.col("m"), least=0) < 3).alias("low"))
     return x.agg(F.count("*").alias("n"), F.count(F.when(F.col("low"), 1)).alias("n_floor"), F.round(F.avg("k"), 6).alias("avg_k"), F.expr("percentile(k, 0.5)").alias("median_k"), F.min("k").alias("min_k"), F.max("k").alias("max_k"))
 
 
 @query(f"{_BASE}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1), e AS (SELECT doc_id, m, sum(m) OVER (ORDER BY doc_id) AS e FROM m) SELECT doc_id, (e - m)::BIGINT AS start_idx, e::BIGINT AS end_idx, m::INT AS num_sentences FROM e")
 def row_offsets(spark, d):
-    return C.row_offsets(C.sizes(_sents(spark, d)))
+    return C.row_offsets(C.sizes(_docs(spark, d)))
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20")
@@ -371,7 +397,7 @@ def global_spearman(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN stratum = 'edge' THEN lpad(m::VARCHAR, 6, '0') ELSE md5(doc_id::VARCHAR) END, doc_id) AS rn FROM x WHERE stratum IS NOT NULL)
 SELECT doc_id, m, stratum FROM r WHERE stratum = 'short' OR rn <= CASE stratum WHEN 'edge' THEN 11 WHEN 'medium' THEN 20 ELSE 15 END""")
 def stratified_sample(spark, d):
-    return S.stratified_sample(C.sizes(_sents(spark, d)))
+    return S.stratified_sample(C.sizes(_docs(spark, d)))
 
 
 @query("""SELECT doc_id, CASE WHEN r <= least(100, n) THEN 'test' WHEN r <= least(100, n) + floor((n - least(100, n)) * 0.15) THEN 'val' ELSE 'train' END AS part
@@ -403,13 +429,17 @@ def rwmd_previous(spark, d):
 @query()
 def wmd_exact(spark, d):
     """Exact distance of every sentence to the one before it (M7, W7); 0 for the first."""
-    x = _sents(spark, d).select("doc_id", "sent_idx", T.tokens_a(F.col("sent")).alias("toks"))
+    toks = C.sentence_lists(_docs(spark, d)).select("doc_id", F.transform("sents", T.tokens_a).alias("toks"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = x.repartition(n, "doc_id").withColumn("prev", F.lag("toks").over(S.Window.partitionBy("doc_id").orderBy("sent_idx")))
+    pair = F.posexplode(F.transform("toks", lambda t, i: F.struct(t.alias("a"), F.when(i > 0, F.get("toks", i - 1)).alias("b"))))
+    x = toks.select("doc_id", pair.alias("sent_idx", "p")).select("doc_id", "sent_idx", "p.a", "p.b").repartition(4 * n)  # pairs, so that a long document is no task
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "sent_idx": b.sent_idx, "dist": [0.0 if p is None else round(W.wmd(list(t), list(p)), 6) for t, p in zip(b.toks, b.prev, strict=True)]})
+            first = b.b.isna()
+            dist = np.zeros(len(b))
+            dist[~first] = W.finite(W.distances([(W.Bag(list(p)), W.Bag(list(q))) for p, q in zip(b.a[~first], b.b[~first], strict=True)]))
+            yield pd.DataFrame({"doc_id": b.doc_id, "sent_idx": b.sent_idx, "dist": dist.round(6)})
 
     return x.mapInPandas(run, "doc_id long, sent_idx int, dist double")
 
@@ -433,21 +463,31 @@ SELECT doc_id, round(avg(CASE WHEN n < 2 OR h1 = 0 THEN 0.0 ELSE (CASE WHEN len(
 FROM z JOIN nn USING (doc_id) JOIN h USING (doc_id, sent_idx) JOIN rl USING (doc_id, sent_idx) GROUP BY 1"""
 
 
+def _chosen(spark, d) -> DataFrame:
+    """(doc_id, sent_idx, k, toks): the budgeted top sentences."""
+    r = S.ranked(_scores(spark, d), "doc_id", "sent_idx", "score").withColumn("k", T.budget(F.col("m"))).where("rn <= k")
+    return r.select("doc_id", "sent_idx", "k", T.tokens_a(F.col("sent")).alias("toks"))
+
+
 @query(_BLEU)
 def self_bleu(spark, d):
-    x = _scores(spark, d)
-    top = S.top_k(x).join(x.select("doc_id", "sent_idx", "sent"), ["doc_id", "sent_idx"])
-    return E.self_bleu_2(top.select("doc_id", "sent_idx", T.tokens_a(F.col("sent")).alias("toks")))
+    return E.self_bleu_2(_chosen(spark, d))
 
 
-@query(_BLEU.replace("SELECT doc_id, round(avg(", "SELECT b.doc_id, b.n_sel AS selected_count, b.k AS k_i, round(b.n_sel / b.k, 6) AS budget_fulfillment, b.n_sel < b.k AS under_filled, coalesce(sb, 0.0) AS self_bleu_2, b.tc AS token_count FROM (SELECT doc_id, count(*) AS n_sel, any_value(k) AS k, sum(len(" + _TOKA + "))::BIGINT AS tc FROM rk WHERE rn <= k GROUP BY 1) b LEFT JOIN (SELECT doc_id, round(avg(").replace("AS self_bleu_2\nFROM z", "AS sb\nFROM z") + ") q2 ON b.doc_id = q2.doc_id")
+@query(_BLEU.replace("SELECT doc_id, round(avg(", "SELECT b.doc_id, b.n_sel AS selected_count, b.k AS k_i, round(b.n_sel / b.k, 6) AS budget_fulfillment, b.n_sel < b.k AS under_filled, coalesce(sb, 0.0) AS self_bleu_2, round(CASE WHEN len(b.ts) = 0 THEN 0.0 WHEN len(b.ts) < 2 THEN 1.0 ELSE len(list_distinct(list_transform(range(1, len(b.ts)), lambda i: b.ts[i] || ' ' || b.ts[i + 1])))::DOUBLE / (len(b.ts) - 1) END, 6) AS distinct_2, b.tc AS token_count FROM (SELECT doc_id, count(*) AS n_sel, any_value(k) AS k, sum(len(" + _TOKA + "))::BIGINT AS tc, flatten(list(" + _TOKA + " ORDER BY sent_idx)) AS ts FROM rk WHERE rn <= k GROUP BY 1) b LEFT JOIN (SELECT doc_id, round(avg(").replace("AS self_bleu_2\nFROM z", "AS sb\nFROM z") + ") q2 ON b.doc_id = q2.doc_id")
 def summary_metrics(spark, d):
     """Counts, budget, redundancy and tokens of the selected sentences."""
-    x = _scores(spark, d)
-    r = S.ranked(x, "doc_id", "sent_idx", "score").withColumn("k", T.budget(F.col("m"))).where("rn <= k").select("doc_id", "sent_idx", "k", T.tokens_a(F.col("sent")).alias("toks"))
-    c = r.groupBy("doc_id").agg(F.count("*").alias("selected_count"), F.max("k").alias("k_i"), F.sum(F.size("toks").cast("long")).alias("token_count"))
-    c = c.join(E.self_bleu_2(r), "doc_id", "left")
-    return c.select("doc_id", "selected_count", "k_i", F.round(F.col("selected_count") / F.col("k_i"), 6).alias("budget_fulfillment"), (F.col("selected_count") < F.col("k_i")).alias("under_filled"), F.coalesce("self_bleu_2", F.lit(0.0)).alias("self_bleu_2"), "token_count")
+    r = _chosen(spark, d)
+    toks = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "toks"))), lambda x: x["toks"]))
+    c = r.groupBy("doc_id").agg(F.count("*").alias("selected_count"), F.max("k").alias("k_i"), F.sum(F.size("toks").cast("long")).alias("token_count"), toks.alias("toks"))
+    c = c.join(E.distinct_n(c.select("doc_id", "toks"), 2), "doc_id").join(E.self_bleu_2(r), "doc_id", "left")
+    return c.select("doc_id", "selected_count", "k_i", F.round(F.col("selected_count") / F.col("k_i"), 6).alias("budget_fulfillment"), (F.col("selected_count") < F.col("k_i")).alias("under_filled"), F.coalesce("self_bleu_2", F.lit(0.0)).alias("self_bleu_2"), "distinct_2", "token_count")
+
+
+def _two_ranks(spark, d) -> DataFrame:
+    """Scores with ``rn``, the rank by score, and ``rt``, the rank by TF-IDF."""
+    x = S.ranked(_scores(spark, d), "doc_id", "sent_idx", "tfidf").withColumnRenamed("rn", "rt")
+    return S.ranked(x, "doc_id", "sent_idx", "score")
 
 
 _TWO = f"{_SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, sent_idx DESC) AS rt FROM rk)"
@@ -456,10 +496,9 @@ _TWO = f"{_SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER
 @query(f"""{_TWO}, a AS (SELECT doc_id, count(*) FILTER (rn <= k AND rt <= k) AS hits, count(*) FILTER (rn <= k OR rt <= k) AS any_, count(*) FILTER (rt <= k) AS truth FROM p GROUP BY 1)
 SELECT doc_id, round(hits::DOUBLE / any_, 6) AS jaccard, round(hits::DOUBLE / truth, 6) AS recall FROM a""")
 def overlap_metrics(spark, d):
-    """SO1-SO3: the score's top k against the top k by TF-IDF alone."""
-    x = _scores(spark, d)
-    sets = lambda c, n: S.top_k(x, score=c).groupBy("doc_id").agg(F.collect_list("sent_idx").alias(n))
-    j = sets("tfidf", "truth").join(sets("score", "found"), "doc_id")
+    """SO1-SO3: the score's top k against the top k by TF-IDF alone; both ranks in one pass over a document."""
+    of = lambda c: F.collect_list(F.when(F.col(c) <= T.budget(F.col("m")), F.col("sent_idx")))
+    j = _two_ranks(spark, d).groupBy("doc_id").agg(of("rt").alias("truth"), of("rn").alias("found"))
     return j.select("doc_id", F.round(E.jaccard(F.col("truth"), F.col("found")), 6).alias("jaccard"), F.round(E.recall(F.col("truth"), F.col("found")), 6).alias("recall"))
 
 
@@ -471,20 +510,20 @@ def rank_corr(spark, d):
     return E.rank_correlation(_scores(spark, d), "doc_id", "sent_idx", "tfidf", "score")
 
 
-@query(f"""{_SCORED} SELECT doc_id, any_value(m) AS m, round(min(rn) FILTER (tfidf = mx) / any_value(m), 6) AS best_pct, count(*) FILTER (tfidf >= 0.8) AS n_high, count(*) FILTER (tfidf >= 0.8 AND rn <= k) AS n_high_top,
-round(avg(rn) FILTER (tfidf >= 0.8), 6) AS mean_high_rank, round(max(score) - min(score), 7) AS spread, round(stddev_pop(score), 4) AS std FROM (SELECT *, max(tfidf) OVER (PARTITION BY doc_id) AS mx FROM rk) GROUP BY 1""")
+@query(f"""{_SCORED} SELECT doc_id, any_value(m) AS m, round(min(rn) FILTER (tfidf = mx) / any_value(m), 6) AS best_pct, round(avg(rn) FILTER (rt <= k) / any_value(m), 6) AS top_pct, count(*) FILTER (tfidf >= 0.8) AS n_high, count(*) FILTER (tfidf >= 0.8 AND rn <= k) AS n_high_top,
+round(avg(rn) FILTER (tfidf >= 0.8), 6) AS mean_high_rank, round(max(score) - min(score), 7) AS spread, round(stddev_pop(score), 4) AS std FROM (SELECT *, max(tfidf) OVER (PARTITION BY doc_id) AS mx, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, sent_idx DESC) AS rt FROM rk) GROUP BY 1""")
 def rank_diagnostics(spark, d):
-    return E.rank_diagnostics(_scores(spark, d).select("doc_id", "sent_idx", "tfidf", "score"), "doc_id", "sent_idx", "tfidf", "score")
+    return E.rank_diagnostics(_scores(spark, d).select("doc_id", "sent_idx", "tfidf", "score", "m"), "doc_id", "sent_idx", "tfidf", "score")
 
 
 @query(f"""{_TWO}, a AS (SELECT doc_id, any_value(m) AS m, any_value(k) AS k, count(*) FILTER (rn <= k AND rt <= k) AS hits FROM p GROUP BY 1)
 SELECT CASE WHEN m < 20 THEN 'short' WHEN m <= 500 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n_docs, sum(m)::BIGINT AS total_sentences, round(sum(hits)::DOUBLE / sum(least(k, m)), 6) AS capture, round((sum(hits)::DOUBLE / sum(least(k, m))) / (sum(least(k, m))::DOUBLE / sum(m)), 6) AS over_chance FROM a GROUP BY 1""")
 def bucket_report(spark, d):
     """AG17: by length, the share of the truth that is found, and its ratio to chance."""
-    x = _scores(spark, d)
-    a = S.top_k(x, score="tfidf").select("doc_id", "sent_idx").join(S.top_k(x).select("doc_id", "sent_idx"), ["doc_id", "sent_idx"]).groupBy("doc_id").agg(F.count("*").alias("both"))
-    m = C.sizes(x).join(a, "doc_id", "left").withColumn("k", F.least(T.budget(F.col("m")).cast("long"), "m"))
-    hit, k, n = F.sum(F.coalesce("both", F.lit(0))), F.sum("k"), F.sum("m")
+    b = T.budget(F.col("m"))
+    m = _two_ranks(spark, d).groupBy("doc_id").agg(F.max("m").cast("long").alias("m"), F.count(F.when((F.col("rn") <= b) & (F.col("rt") <= b), 1)).alias("both"))
+    m = m.withColumn("k", F.least(T.budget(F.col("m")).cast("long"), "m"))
+    hit, k, n = F.sum("both"), F.sum("k"), F.sum("m")
     return m.groupBy(T.length_bucket(F.col("m")).alias("bucket")).agg(F.count("*").alias("n_docs"), n.alias("total_sentences"), F.round(F.try_divide(hit, k), 6).alias("capture"), F.round(F.try_divide(F.try_divide(hit, k), F.try_divide(k, n)), 6).alias("over_chance"))
 
 
@@ -493,7 +532,7 @@ h AS (SELECT doc_id, m, k, unnest(range(greatest(0, 2 * k - m), k + 1))::INT AS
 p AS (SELECT *, exp(lgamma(k + 1) - lgamma(h + 1) - lgamma(k - h + 1) + lgamma(m - k + 1) - lgamma(k - h + 1) - lgamma(m - 2 * k + h + 1) - lgamma(m + 1) + lgamma(k + 1) + lgamma(m - k + 1)) AS p FROM h)
 SELECT doc_id, round(sum(p * h / (2 * k - h)), 6) AS ej, round(max(k::DOUBLE / m), 6) AS er FROM p GROUP BY 1""")
 def chance_closed_form(spark, d):
-    return E.chance(C.sizes(_sents(spark, d)))
+    return E.chance(C.sizes(_docs(spark, d)))
 
 
 @query(f"""{_SCORED}, q AS (SELECT 'tfidf' AS feature, quantile_cont(tfidf, 0.25) AS a, quantile_cont(tfidf, 0.5) AS b, quantile_cont(tfidf, 0.75) AS c FROM sc UNION ALL SELECT 'pos', quantile_cont(pos, 0.25), quantile_cont(pos, 0.5), quantile_cont(pos, 0.75) FROM sc)
@@ -516,36 +555,120 @@ def regression_metrics(spark, d):
 
 
 @query(f"""{_BASE}, a AS (SELECT doc_id, sent_idx FROM s), b AS (SELECT doc_id, sent_idx FROM s WHERE length(sent) > 20), j AS (SELECT a.doc_id AS x, b.doc_id AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx)
-SELECT 'only_left' AS "check", count(*) FILTER (y IS NULL) AS n_bad FROM j UNION ALL SELECT 'only_right', count(*) FILTER (x IS NULL) FROM j UNION ALL SELECT 'nan_n', 0 UNION ALL SELECT 'differs_n', count(*) FILTER (y IS NULL) FROM j""")
+SELECT 'only_left' AS "check", count(*) FILTER (y IS NULL) AS n_bad FROM j UNION ALL SELECT 'only_right', count(*) FILTER (x IS NULL) FROM j UNION ALL SELECT 'nan_n', 0 UNION ALL SELECT 'inf_n', 0 UNION ALL SELECT 'differs_n', count(*) FILTER (y IS NULL) FROM j""")
 def alignment_audit(spark, d):
     s = _sents(spark, d).select("doc_id", "sent_idx", F.length("sent").alias("n"))
     return E.alignment(s, s.where("n > 20"), ["doc_id", "sent_idx"], ["n"])
 
 
+def _features(spark, d, config: str) -> DataFrame:
+    """ML1: (doc_id, sent_idx, the configuration's features), raw."""
+    return G.feature_rows(_docs(spark, d, True), _lists(spark, d), config)
+
+
+@query()
+def c1_features(spark, d):
+    """ML1, M8: the five features of C1; the distance to the document is the relaxed one, with the mask of its fallback."""
+    return _features(spark, d, "C1")
+
+
+@query(f"""{_SCORED}, {_WV}, c AS (SELECT doc_id, [{", ".join(f"avg(v[{i}])" for i in range(1, 9))}] AS c FROM sv GROUP BY 1)
+SELECT sc.doc_id, sc.sent_idx, tfidf, len(regexp_extract_all(sent, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*'))::DOUBLE AS ner, pos AS position, coalesce(round(list_cosine_similarity(v, c), 6), 0) AS cosine_sbert
+FROM sc LEFT JOIN sv USING (doc_id, sent_idx) LEFT JOIN c ON c.doc_id = sc.doc_id""")
+def c3_features(spark, d):
+    """ML1, PF10, PF11: the four features of C3; hash vectors stand in for sentence embeddings."""
+    return _features(spark, d, "C3")
+
+
 @query()
 def gbt_scores(spark, d):
-    """ML5/ML6 on ROUGE labels: all trees, the features of C3; the cosine is that of hash vectors, which stand in for sentence embeddings."""
-    s, f = _sents(spark, d), G.features_of("C3")
-    cos = C.centroid_cosine(C.sentence_vectors(s), "doc_id", "sent_idx", "vec", V.DIM).select("doc_id", "sent_idx", "cos")
-    x = _scores(spark, d).join(_labels(spark, d), ["doc_id", "sent_idx"]).join(cos, ["doc_id", "sent_idx"], "left")
-    x = x.withColumn("ner", T.ner_proxy(F.col("sent")).cast("double")).withColumn("cosine_sbert", F.coalesce("cos", F.lit(0.0))).withColumnRenamed("pos", "position")
-    x = x.join(S.hash_split(_docs(spark, d)), "doc_id").select("doc_id", "sent_idx", *f, "y", "part").cache()
+    """ML5/ML6 on the labels of documents with references: all trees, the features of C3."""
+    f = G.features_of("C3")
+    x = _features(spark, d, "C3").join(_labels(spark, d).select("doc_id", "sent_idx", "y"), ["doc_id", "sent_idx"])
+    paired = _references(spark, d).select("doc_id").distinct()
+    x = x.join(S.hash_split(paired, test=0), "doc_id").select("doc_id", "sent_idx", *f, "y", "part")
     return G.predict(G.fit(x.where("part = 'train'"), f), x, f).select("doc_id", "sent_idx", "part", "y", "y_hat")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Summaries: the budgeted top sentences by score, in document order."""
-    x = _scores(spark, d)
-    r = S.ranked(x, "doc_id", "sent_idx", "score").withColumn("k", T.budget(F.col("m"))).where("rn <= k")
-    s = r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "sent"))).alias("x"), F.max("k").alias("k"), F.count("*").alias("n"))
-    return s.select("doc_id", F.array_join(F.transform("x", lambda p: p["sent"]), " ").alias("summary"), "k", F.round(F.col("n") / F.col("k"), 6).alias("fulfillment"))
+    """Summaries: a document's sentences by score and against redundancy (MMR, lambda 0.7), in document order."""
+    vecs = C.sentence_vectors(C.sentences(_docs(spark, d, True))).groupBy("doc_id").agg(F.collect_list(F.struct("sent_idx", "vec")).alias("vecs"))
+    score = F.transform("tfidf", lambda x, i: F.round(x - 0.5 * F.round(i / F.size("tfidf"), 6), 7))
+    x = _lists(spark, d).join(vecs, "doc_id", "left").select("doc_id", "sents", score.alias("scores"), "vecs")
+    r = S.mmr_lists(x, 0.7).withColumn("k", T.budget(F.size("sents")))
+    return r.select("doc_id", F.array_join(F.transform("ordered", lambda i: F.get("sents", i)), " ").alias("summary"), "k", F.round(F.size("ordered") / F.col("k"), 6).alias("fulfillment"))
 
 
-@query(f"{_SCORED} SELECT doc_id, string_agg(sent, ' ' ORDER BY sent_idx) AS summary, any_value(k) AS k, round(count(*) / any_value(k), 6) AS fulfillment FROM rk WHERE rn <= k GROUP BY 1")
+@query(f"""{_SCORED.replace("WITH", "WITH RECURSIVE", 1)}, {_WV},
+q AS (SELECT rk.doc_id, rk.sent_idx, sent, score, k, m, coalesce(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))), [0.0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[]) AS u FROM rk LEFT JOIN sv USING (doc_id, sent_idx)),
+r AS (
+  SELECT doc_id, sent_idx, score, k, m, u, 1 AS step, -2.0::DOUBLE AS near, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_idx) = 1 AS pick FROM q
+  UNION ALL
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY 0.7::DOUBLE * score - (1 - 0.7::DOUBLE) * near DESC, sent_idx) = 1 AS pick FROM (
+    SELECT doc_id, sent_idx, score, k, m, u, step + 1 AS step, greatest(near, least(1, greatest(-1, list_dot_product(u, pu)))) AS near
+    FROM (SELECT *, max(CASE WHEN pick THEN u END) OVER (PARTITION BY doc_id) AS pu FROM r) WHERE NOT pick AND step < least(k, m)))
+SELECT r.doc_id, string_agg(sent, ' ' ORDER BY r.sent_idx) AS summary, any_value(r.k) AS k, round(count(*) / any_value(r.k), 6) AS fulfillment FROM r JOIN q USING (doc_id, sent_idx) WHERE pick GROUP BY 1""")
 def c3_summary(spark, d):
     return flagship(spark, d)
 
 
+@query()
+def global_kendall(spark, d):
+    """M16 over all sentences; all pairs are too many for SQL, tests compare with them."""
+    return E.global_kendall(_scores(spark, d), "tfidf", "score")
+
+
+@query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) < 50 AS near_empty, length(regexp_replace(coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) = 0 AS blank FROM documents")
+def empty_texts(spark, d):
+    """PF1, PF2."""
+    t = F.col("text")
+    return _docs(spark, d).select("doc_id", T.is_near_empty(t).alias("near_empty"), T.is_blank(t).alias("blank"))
+
+
+@query(f"{_BASE} SELECT doc_id, count(*) AS m FROM s GROUP BY 1 ORDER BY m, doc_id LIMIT 10")
+def shortest_docs(spark, d):
+    """TK10, the other end."""
+    return C.sizes(_docs(spark, d)).orderBy("m", "doc_id").limit(10)
+
+
+@query("SELECT 'train' AS left_part, 'test' AS right_part, 0::BIGINT AS n_shared")
+def split_overlap(spark, d):
+    """Ids that train and test share; the contract is none."""
+    x = S.hash_split(_docs(spark, d)).cache()
+    n = S.overlap(x.where("part = 'train'"), x.where("part = 'test'"))
+    x.unpersist()
+    return spark.createDataFrame([("train", "test", n)], "left_part string, right_part string, n_shared long")
+
+
+@query("SELECT source, min(doc_id) AS first_doc FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def first_seen(spark, d):
+    """SO7: sources in the order in which they are first seen."""
+    x = spark.read.parquet(f"{d}/documents.parquet").where("source is not null").withColumnRenamed("doc_id", "first_doc")
+    return S.first_seen(x, "source", "first_doc")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id::VARCHAR) AS place FROM documents ORDER BY doc_id::VARCHAR LIMIT 50")
+def text_order(spark, d):
+    """TK2: the first 50 ids in the order of their text, which is not that of their value."""
+    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id").orderBy(F.col("doc_id").cast("string")).limit(50)
+    return ids.select("doc_id", F.row_number().over(S.Window.orderBy(F.col("doc_id").cast("string"))).cast("long").alias("place"))  # 50 rows
+
+
+@query(f"""{_SCORED} SELECT 'tfidf' AS feature, round(max(abs(tfidf - score)), 6) AS max_abs_diff FROM sc""")
+def max_difference(spark, d):
+    """AG24."""
+    x = _scores(spark, d)
+    a, b = x.select("doc_id", "sent_idx", "tfidf"), x.select("doc_id", "sent_idx", F.col("score").alias("tfidf"))
+    return E.max_difference(a, b, ["doc_id", "sent_idx"], ["tfidf"]).withColumn("max_abs_diff", F.round("max_abs_diff", 6))
+
+
+@query(f"""{_SCORED}, p AS (SELECT avg(tfidf) AS c, stddev_pop(tfidf) AS s FROM sc) SELECT doc_id, sent_idx, round((tfidf - c) / s, 4) + 0.0 AS tfidf FROM sc, p""")
+def standard_scaled(spark, d):
+    """ML2-ML4: mean and deviation fitted and applied."""
+    out, _ = E.fit_transform(_scores(spark, d).select("doc_id", "sent_idx", "tfidf"), ["tfidf"], "standard")
+    return out.withColumn("tfidf", F.round("tfidf", 4) + 0.0)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
