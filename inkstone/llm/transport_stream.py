@@ -3,10 +3,17 @@
 ``mux`` stores a payload losslessly in a transport stream: program association
 and map tables before each random-access point, one elementary stream of
 private data whose access units travel in PES packets with time stamps, clock
-references and stuffing.  ``demux`` reads any such stream back: it parses the
-program tables (with their checksums), checks continuity counters per PID,
-reassembles elementary packets, and returns time stamps with random-access
-points.  ``store(df)`` adds the stream and what was read from it as columns.
+references and stuffing.  ``demux`` reads a stream back, its own or another: it
+parses the program tables (sections of any length over several packets, with
+their checksums), checks continuity counters per PID, reassembles elementary
+packets, and returns time stamps with random-access points.  ``store(df)`` adds
+the stream and what was read from it as columns.
+
+Damaged streams raise nothing.  Bytes outside packets and packets marked as bad
+are counted and passed over; a packet sent twice counts once; a jump of the
+counter that the stream announces is none.  An elementary packet with a gap, a
+wrong start or too few bytes is a lost unit: it is counted, and its bytes are not
+in the payload.
 
 Defined results.  Null or empty text: a payload of 64 zero bytes.  Equal texts
 give equal bytes and values.  Extra input columns are dropped.  Work and memory
@@ -124,6 +131,8 @@ class Stream:
     packets: int = 0
     discontinuities: int = 0
     crc_errors: int = 0
+    sync_errors: int = 0  # bytes outside packets, and packets marked as bad
+    lost_units: int = 0
     payload: bytes = b""
     pts: list[int] = field(default_factory=list)
     random_access: list[bool] = field(default_factory=list)
@@ -135,60 +144,127 @@ class Stream:
         return f"programs={len(self.programs)};es={es};packets={self.packets};units={len(self.pts)};rap={sum(self.random_access)};pts={span};cc_errors={self.discontinuities};crc_errors={self.crc_errors}"
 
 
-def _sections(packets: np.ndarray, start: np.ndarray, pid: np.ndarray, want: int, out: Stream) -> list[bytes]:
-    found = []
-    for k in dict.fromkeys(packets[i, start[i] :].tobytes() for i in np.flatnonzero((pid == want) & (packets[:, 1] & 0x40 > 0))):
-        k = k[1 + k[0] :]
-        size = 3 + ((k[1] & 15) << 8 | k[2])
-        if size < 12 or crc_mpeg(k[: size - 4]) != int.from_bytes(k[size - 4 : size], "big"):
-            out.crc_errors += 1
-        else:
-            found.append(k[:size])
-    return found
+def _aligned(media: bytes, out: Stream) -> np.ndarray:
+    """The packets, without bytes between them and packets marked as bad."""
+    raw = np.frombuffer(media, np.uint8)
+    whole = raw[: len(raw) // PACKET * PACKET].reshape(-1, PACKET)
+    if len(raw) % PACKET or (whole[:, 0] != SYNC).any():
+        found, at, n = [], 0, len(raw)
+        while at + PACKET <= n:
+            if raw[at] == SYNC and (at + PACKET >= n or raw[at + PACKET] == SYNC or (found and found[-1] == at - PACKET)):
+                found.append(at)
+                at += PACKET
+            else:
+                out.sync_errors += 1
+                at += 1
+        out.sync_errors += n - at
+        whole = raw[np.array(found, np.int64)[:, None] + np.arange(PACKET)] if found else raw[:0].reshape(0, PACKET)
+    bad = whole[:, 1] & 0x80 > 0
+    long = (whole[:, 3] & 0x20 > 0) & (whole[:, 4] > PACKET - 5)  # an adaptation field beyond the packet
+    out.sync_errors += int((bad | long).sum())
+    return whole if not (bad | long).any() else whole[~(bad | long)]
+
+
+def _continued(p: np.ndarray, own: np.ndarray, start: np.ndarray, out: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """Of one PID's packets with payload those that count once, and which of them follow a gap."""
+    cc = p[own, 3] & 15
+    step = (cc[1:] - cc[:-1]) & 15
+    if (step == 1).all():
+        return own, np.zeros(len(own), bool)
+    keep, gap, twice = [own[0]], [False], False
+    for prev, k, s in zip(own[:-1], own[1:], step.tolist(), strict=True):
+        announced = p[k, 3] & 0x20 and p[k, 4] and p[k, 5] & 0x80
+        if s == 0 and not twice and not announced and (p[prev, start[prev] :].tobytes() == p[k, start[k] :].tobytes()):
+            twice = True
+            continue
+        twice = False
+        jump = s != 1 and not announced
+        out.discontinuities += jump
+        keep.append(k)
+        gap.append(s != 1)
+    return np.array(keep), np.array(gap)
+
+
+def _sections(p: np.ndarray, start: np.ndarray, own: np.ndarray, out: Stream) -> list[bytes]:
+    """Distinct sections of one PID with a right checksum, over as many packets as they take."""
+    found: dict[bytes, None] = {}
+    held: bytes | None = None
+
+    def read(buf: bytes) -> bytes:
+        while len(buf) >= 3 and buf[0] != 0xFF:
+            size = 3 + ((buf[1] & 15) << 8 | buf[2])
+            if len(buf) < size:
+                return buf
+            if size < 12 or crc_mpeg(buf[: size - 4]) != int.from_bytes(buf[size - 4 : size], "big"):
+                out.crc_errors += 1
+            else:
+                found[buf[:size]] = None
+            buf = buf[size:]
+        return b""
+
+    if not len(own):
+        return []
+    for k, gap in zip(*_continued(p, own, start, out), strict=True):
+        body = p[k, start[k] :].tobytes()
+        held = None if gap else held
+        if p[k, 1] & 0x40 and body:
+            if held is not None:
+                read(held + body[1 : 1 + body[0]])
+            held = read(body[1 + body[0] :])
+        elif held:
+            held = read(held + body)
+    return list(found)
 
 
 def demux(media: bytes) -> Stream:
     out = Stream()
-    if not media or len(media) % PACKET:
-        if media:
-            raise ValueError("not a whole number of packets")
-        return out
-    p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (p[:, 0] != SYNC).any():
-        raise ValueError("lost synchronisation")
+    p = _aligned(media, out)
     out.packets = len(p)
+    if not len(p):
+        return out
     pid = (p[:, 1].astype(np.int64) & 31) << 8 | p[:, 2]
     adapt, has = p[:, 3] & 0x20 > 0, p[:, 3] & 0x10 > 0
     start = 4 + np.where(adapt, p[:, 4].astype(np.int64) + 1, 0)
-    for x in np.unique(pid[has]):
-        cc = p[has & (pid == x), 3] & 15
-        step = (cc[1:] - cc[:-1]) & 15
-        out.discontinuities += int((step != 1).sum())
-    for pat in _sections(p, start, pid, PAT_PID, out):
+    of = lambda x: np.flatnonzero((pid == x) & has)
+    read = set()
+    for pat in _sections(p, start, of(PAT_PID), out):
+        if pat[0] != 0:
+            continue
         for i in range(8, len(pat) - 4, 4):
             number, pmt_pid = struct.unpack(">HH", pat[i : i + 4])
-            if number:
-                for pmt in _sections(p, start, pid, pmt_pid & 0x1FFF, out):
-                    i = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
-                    while i < len(pmt) - 4:
-                        kind, es, info = struct.unpack(">BHH", pmt[i : i + 5])
-                        out.programs.setdefault(number, {})[es & 0x1FFF] = kind
-                        i += 5 + (info & 0xFFF)
+            if not number or pmt_pid & 0x1FFF in read:
+                continue
+            read.add(pmt_pid & 0x1FFF)
+            for pmt in _sections(p, start, of(pmt_pid & 0x1FFF), out):
+                if pmt[0] != 2:
+                    continue
+                i, program = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF), int.from_bytes(pmt[3:5], "big")
+                while i + 5 <= len(pmt) - 4:
+                    kind, es, info = struct.unpack(">BHH", pmt[i : i + 5])
+                    out.programs.setdefault(program, {})[es & 0x1FFF] = kind
+                    i += 5 + (info & 0xFFF)
     parts = []
     for es in sorted({x for prog in out.programs.values() for x in prog}):
-        own = np.flatnonzero((pid == es) & has)
+        own = of(es)
+        if not len(own):
+            continue
+        own, gap = _continued(p, own, start, out)
         size = PACKET - start[own]
         data = p.ravel()[ragged(own * PACKET + start[own], size)]
         first = np.flatnonzero(p[own, 1] & 0x40 > 0)
         at = (np.cumsum(size) - size)[first]
-        for a, b, k in zip(at, [*at[1:], len(data)], own[first], strict=True):
-            head = data[a : a + 14].tobytes()
-            if head[:3] != b"\0\0\1":
-                raise ValueError("no elementary packet where one begins")
-            length, body = int.from_bytes(head[4:6], "big"), a + 9 + head[8]
-            parts.append(data[body : a + 6 + length if length else b].tobytes())
+        torn = np.cumsum(gap)
+        for j, (a, b, k) in enumerate(zip(at, [*at[1:], len(data)], own[first], strict=True)):
+            last = first[j + 1] - 1 if j + 1 < len(first) else len(own) - 1
+            head = data[a : min(b, a + 14)].tobytes()
+            length = int.from_bytes(head[4:6], "big") if len(head) >= 9 else 0
+            body, end = a + 9 + head[8] if len(head) >= 9 else b, a + 6 + length if length else b
+            if head[:3] != b"\0\0\1" or torn[last] > torn[first[j]] or end > b or body > end:
+                out.lost_units += 1
+                continue
+            parts.append(data[body:end].tobytes())
             h = head[9:14]
-            out.pts.append((h[0] >> 1 & 7) << 30 | h[1] << 22 | h[2] >> 1 << 15 | h[3] << 7 | h[4] >> 1 if head[7] & 0x80 else -1)
+            out.pts.append((h[0] >> 1 & 7) << 30 | h[1] << 22 | h[2] >> 1 << 15 | h[3] << 7 | h[4] >> 1 if head[7] & 0x80 and len(h) == 5 else -1)
             out.random_access.append(bool(adapt[k] and p[k, 4] and p[k, 5] & 0x40))
             out.packet_index.append(int(k))
     out.payload = b"".join(parts)
