@@ -14,6 +14,7 @@ from inkstone.operators import evaluation as E
 from inkstone.operators import scoring as G
 from inkstone.operators import selection as S
 from inkstone.operators import wmd as W
+from inkstone.sources import io
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -164,7 +165,7 @@ def ner_proxy(spark, d):
 
 @query("SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS text, 'PROXY' AS label FROM documents")
 def entities_proxy(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(T.entities_proxy(F.col("text"))).alias("e")).select("doc_id", "e.text", "e.label")
+    return io.tagged(_docs(spark, d))
 
 
 @query(rf"""SELECT doc_id, f <> '' AND f NOT IN ('in', 'the', 'this', 'an', 'cross', 'first', 'second', 'leave') AS truncated,

@@ -307,3 +307,53 @@ def test_global_spearman(spark):
     assert tuple(E.global_spearman(df, "x", "y").first()) == (4, want)
     assert tuple(E.global_spearman(df.limit(1), "x", "y").first()) == (1, 0.0)
     assert tuple(E.global_spearman(df.limit(0), "x", "y").first()) == (0, 0.0)
+
+
+def test_writers(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    rows = spark.createDataFrame([(2, 0, 1.0), (1, 0, 2.0), (1, 1, 4.0)], "doc_id long, sent_idx int, tfidf double")
+    scaled, params = E.fit_transform(rows, ["tfidf"])
+    io.write_features(rows, scaled, params, at("f"), "C1")
+    io.write_features(rows.limit(1), scaled, params, at("f"), "C2")
+    assert io.read_features(spark, at("f"), "C1").count() == 3 and io.read_features(spark, at("f"), "C2").count() == 1
+    assert io.read_features(spark, at("f"), "C1", "params").first().center == 2.0
+    io.write_labels(rows, rows.groupBy().count(), at("l"))
+    assert {(x.doc_id, x.start_idx, x.end_idx) for x in spark.read.parquet(at("l/boundaries")).collect()} == {(1, 0, 2), (2, 2, 3)}
+    made = []
+    make = lambda: made.append(1) or spark.createDataFrame([("a", 1.0)], "term string, idf double")
+    assert io.saved_vocabulary(spark, at("v"), make).count() == io.saved_vocabulary(spark, at("v"), make).count() == 1 and made == [1]
+    io.write_ids(rows, at("ids"), {"val": 0.15})
+    assert [x.value for x in spark.read.text(at("ids")).collect()] == ["1", "1", "2"] and "0.15" in spark.read.text(at("ids.about")).first().value
+    assert io.read_split(rows, io.read_ids(spark, at("ids")).where("doc_id = '2'")).first().doc_id == 2
+    assert "| 2 | 0 | 1.0 |" in io.write_report(rows, at("r"), "Rows")
+    with pytest.raises(ValueError):
+        io.write_report(rows, at("r"), "Rows", 2)
+
+
+def test_hooks(spark):
+    s = spark.createDataFrame([(1, 0, "ab"), (1, 1, ""), (2, 0, "abcd")], "doc_id long, sent_idx int, sent string")
+    load = lambda: lambda texts: [[len(t), 3.0] for t in texts]
+    assert {tuple(x.vec) for x in io.encoded(s, load, 2).collect()} == {(2.0, 3.0), (0.0, 3.0), (4.0, 3.0)}
+    assert (0.8, 0.6) in {tuple(x.vec) for x in io.encoded(s, load, unit=True).collect()} and io.encoded(s.limit(0), load).count() == 0
+    docs = spark.createDataFrame([(1, "Mill Brook ran"), (2, " ")], "doc_id long, text string")
+    assert [(x.text, x.label) for x in io.tagged(docs).collect()] == [("Mill Brook", "PROXY")]
+    tag = lambda: lambda t: [(t.split()[0], "X")]
+    assert [(x.doc_id, x.text, x.label) for x in io.tagged(docs, tag).collect()] == [(1, "Mill", "X")]
+    assert io.tagger_name() == "rule" and io.tagger_name(tag) == "<lambda>"
+    words = spark.createDataFrame([("boats",), ("red",)], "word string")
+    lemmas = spark.createDataFrame([("boats", "boat")], "word string, lemma string")
+    assert {x.word for x in io.lemmatized(words, lemmas).collect()} == {"boat", "red"} and io.lemmatized(words).count() == 2
+    near = spark.createDataFrame([(" " * 60 + "x",), ("y" * 50,), (None,)], "t string").select(T.is_near_empty(F.col("t")).alias("n"), T.is_blank(F.col("t")).alias("b"))
+    assert [(x.n, x.b) for x in near.collect()] == [(True, False), (False, False), (True, True)]
+
+
+def test_features_by_configuration(spark):
+    docs = spark.createDataFrame([(1, "Rain falls here. Sun shines. ..."), (2, "")], "doc_id long, text string")
+    vocab = spark.createDataFrame([("rain", 1, 1.5), ("sun", 1, 1.5)], "term string, df long, idf double")
+    lists = C.scored_lists(docs, vocab)
+    c1 = {x.sent_idx: x for x in G.feature_rows(docs, lists, "C1", exact=True).collect()}
+    assert set(c1) == {0, 1, 2} and c1[2].wmd == W.FALLBACK and c1[2].wmd_fallback and c1[0].tfidf == 1.0 and c1[1].position == round(1 / 3, 6)
+    c3 = G.feature_rows(docs, lists, "C3")
+    assert c3.columns == ["doc_id", "sent_idx", *G.CONFIGS["C3"]] and c3.count() == 3
+    with pytest.raises(ValueError):
+        G.feature_rows(docs, lists, "C4")
