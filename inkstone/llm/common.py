@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; ``bytes.split()`` without arguments splits on exactly these.
@@ -27,41 +27,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Spark's switch for removing an execution's shuffle files at its end.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Sees that checkpoint() has a folder (the cluster's shared one, else, in tests only, a temporary one) and that
-    executions remove their shuffle files when they end: what they made is in the checkpoint by then."""
-    spark.conf.set(TIDY, "true")
+    """Sees that checkpoint() has a folder: that of ``spark.checkpoint.dir``, which a cluster's executors share."""
     sc: SparkContext = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="inkstone-ckpt-"))
+        if shared is None and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="inkstone-ckpt-"))  # one machine, one folder
     return spark
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Plans and runs what is inside under a setting, and puts the old one back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and reads it from there: lineage ends, lost executors cost nothing.
+    """Writes ``df`` to the checkpoint folder and reads it from there: lineage ends, lost executors cost nothing, and
+    the shuffle files that made it are removed.
 
     A checkpoint keeps the size estimate of the plan that made it, and a join's is the product of its sides: in
     loops its digits double with each round until the driver's heap is full.  The copy has no estimate; joins
     are then chosen by the sizes that the shuffles measure.
     """
     spark = ready(df.sparkSession)
-    held = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
+    with setting(spark, TIDY, "true"), setting(spark, BATCH_KEY, BATCH):
+        held = df.checkpoint(eager=True)._jdf
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
+    where = held.queryExecution().logical().rdd().getCheckpointFile()
+    out._written = where.get() if where.isDefined() else None
+    return out
+
+
+def forget(*written: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for tables that nothing reads any more; what is made from them later must have been cut itself."""
+    for df in written:
+        if getattr(df, "_written", None):
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            path = jvm.org.apache.hadoop.fs.Path(df._written)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-@contextlib.contextmanager
 def without_broadcast(spark: SparkSession):
-    """Plans and runs what is inside without automatic broadcasts: in loops over small tables each one holds a page of driver memory."""
-    key = "spark.sql.autoBroadcastJoinThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "-1")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    """No automatic broadcasts inside: in loops over small tables each one holds a page of driver memory."""
+    return setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,6 +90,15 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(t.isNotNull(), F.xxhash64(t)).alias("_th"), t.alias("text"))
 
 
+#: Where the ranks of rows without a number for an id begin.
+LATE = 1 << 62
+
+
+def rank(doc_id: Column, th: Column) -> Column:
+    """The order of documents: ids that are whole numbers by value, then all others, null too, by a hash of id and text hash."""
+    return F.coalesce(doc_id.try_cast("bigint"), F.lit(LATE) + F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), th), 2))
+
+
 def slices(batches: Iterator[pa.RecordBatch], budget: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of at most ``rows`` rows and about ``budget`` bytes, so that results stay small."""
     for b in batches:
