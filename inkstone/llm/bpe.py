@@ -6,7 +6,11 @@ library does with the vocabulary file (NFC, white space, lower case, split,
 byte symbols, end-of-word mark, merges), without that library: the symbols of
 many distinct words lie in one flat array; every round looks up all adjacent
 pairs by binary search in the sorted pair keys and merges, in each word, its
-lowest-ranked pair.
+lowest-ranked pair.  Unicode's classes and cases come in versions: the driver
+asks the library once for letters, numbers and lower case of every code point
+(``unicode_tables``), and chunks with a code point on which Python's tables
+differ take those; without the library, Python's hold.  Vocabulary and tables
+travel to the workers by broadcast; their size is the vocabulary's.
 
 Defined results.  Null or empty text, or white space only: no ids, empty
 decoded text.  Repeated rows give equal rows.  Extra input columns are dropped.
@@ -16,9 +20,11 @@ Long texts: work is per white-space separated chunk, memory per slice of rows.
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -56,17 +62,58 @@ def byte_symbols() -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def unicode_tables() -> tuple[str, str, dict[int, str], frozenset[int]]:
+    """Letters and numbers that the library knows, as ranges of a character class, lower case where it differs from
+    Python's, and all code points on which any of the three or the order of combining marks differ."""
+    try:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+    except ImportError:
+        return r"\p{L}", r"\p{N}", {}, frozenset()
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+
+    odd: set[int] = set()
+
+    def members(one: str) -> str:
+        split, found = pre_tokenizers.Split(Regex(one + "+"), "removed", invert=True), []
+        for i in range(0, len(points), 20_000):
+            found += [ord(c) for piece, _ in split.pre_tokenize_str("".join(points[i : i + 20_000])) for c in piece]
+        odd.update(set(found).symmetric_difference(map(ord, regex.findall(one, "".join(points)))))
+        x = np.unique(np.array(found))
+        breaks = np.flatnonzero(np.diff(x) > 1)
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(x[np.r_[0, breaks + 1]].tolist(), x[np.r_[breaks, len(x) - 1]].tolist(), strict=True))
+
+    plain = [c for c in points if c not in "\r\n"]
+    low = normalizers.Lowercase().normalize_str("\n".join(plain)).split("\n")
+    for frame in ("x\u0301{}\n", "x{}\u0323\n", "x{}\u0301\n", "x\u0323{}\n"):  # combining classes show in the order of marks
+        for i in range(0, len(plain), 20_000):
+            rows = "".join(map(frame.format, plain[i : i + 20_000]))
+            found, own = normalizers.NFC().normalize_str(rows), unicodedata.normalize("NFC", rows)
+            if found != own:
+                odd.update(ord(c) for c, a, b in zip(plain[i : i + 20_000], found.split("\n"), own.split("\n"), strict=False) if a != b)
+    lower = {ord(c): x for c, x in zip(plain, low, strict=True) if x != c.lower()}
+    return members(r"\p{L}"), members(r"\p{N}"), lower, frozenset(odd | set(lower))
+
+
 class WordBPE:
     """Vocabulary, merge table and caches of one worker."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: bytes, tables: tuple[str, str, dict[int, str], frozenset[int]]):
+        spec = json.loads(spec)
+        letters, numbers, self.lower, self.odd = tables
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        try:  # code points that Python's tables lack may combine by the library's
+            from tokenizers import normalizers
+
+            self.compose = normalizers.NFC().normalize_str
+        except ImportError:
+            self.compose = lambda p: unicodedata.normalize("NFC", p)
+        self.exact = pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.split = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mark = regex.compile("|".join(regex.escape(s[0]) for s in self.special)) if self.special else None
         symbols = byte_symbols()
@@ -149,9 +196,13 @@ class WordBPE:
             if p in self.special:
                 yield self.special[p]
             elif p:
-                p = unicodedata.normalize("NFC", p)
-                p = "".join(c.lower() for c in p) if "Σ" in p else p.lower()
-                yield from (m.group() for m in self.split.finditer(p))
+                odd = not p.isascii() and not self.odd.isdisjoint(map(ord, p))
+                p = self.compose(p) if odd else unicodedata.normalize("NFC", p)
+                if odd:
+                    yield from (m.group() for m in regex.finditer(self.exact, "".join(self.lower.get(ord(c)) or c.lower() for c in p)))
+                else:
+                    p = "".join(c.lower() for c in p) if "Σ" in p else p.lower()
+                    yield from (m.group() for m in self.split.finditer(p))
 
     def _learn(self, chunks: list[str]) -> None:
         words: dict[bytes, int] = {}
@@ -201,15 +252,22 @@ class WordBPE:
 
 @lru_cache(maxsize=4)
 def model(path: str) -> WordBPE:
-    return WordBPE(path)
+    return WordBPE(Path(path).read_bytes(), unicode_tables())
+
+
+#: The models of one worker, by the hash of their vocabulary.
+_MODELS: dict[int, WordBPE] = {}
 
 
 def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, decoded string, one row per row of ``df``; nothing is shuffled."""
-    path = path or default_path()
+    sent = df.sparkSession.sparkContext.broadcast((Path(path or default_path()).read_bytes(), unicode_tables()))
+    key = hash(sent.value[0])
 
     def run(batches):
-        bpe = model(path)
+        if key not in _MODELS:
+            _MODELS[key] = WordBPE(*sent.value)
+        bpe = _MODELS[key]
         for b in slices(batches):
             ids, n = bpe.encode([t or "" for t in b.column(1).to_pylist()])
             offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
