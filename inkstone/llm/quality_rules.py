@@ -6,6 +6,11 @@ orders the rules by rejection per cost.  ``judge(df, order)`` applies them in
 that order and stops at a document's first rejection.  A document is kept if no
 rule rejects it, so the verdict does not depend on the measured order.
 
+The sample is ``SAMPLE`` distinct texts of the least hashes: hashes alone are
+sorted, and only those below a bound that holds some times as many; the texts
+are then fetched, of at most ``LONG`` bytes each, so the driver gets a fixed
+amount whatever the table's size.
+
 Defined results.  Null or empty text: no words, base_failed, not kept.  Texts
 under eight words have no repeated window.  Repeated rows give equal rows;
 extra input columns are dropped; an empty table gives an empty one.
@@ -25,6 +30,8 @@ from inkstone.llm.common import Ids, map_batches, table
 
 #: Documents in the sample on which costs and selectivities are estimated.
 SAMPLE = 256
+#: Longer texts are not in the sample (they are judged like all others); how many times SAMPLE hashes are looked at.
+LONG, SPARE = 1 << 18, 8
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -81,8 +88,7 @@ class Facts:
 
 
 def _letters(f: Facts) -> tuple[int, int]:
-    upper = sum(1 for c in f.text if c.isupper())
-    return upper, sum(1 for c in f.text if c.isalpha())
+    return sum(map(str.isupper, f.text)), sum(map(str.isalpha, f.text))
 
 
 def shouts(f: Facts) -> bool:
@@ -117,10 +123,14 @@ def estimate(texts: list[str]) -> list[tuple[str, float, float]]:
 
 
 def plan(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[str]:
-    """The cascade's order from ``sample`` documents, those of the least text hashes; only they reach the driver."""
+    """The cascade's order from at most ``sample`` distinct texts; only they, and no more hashes than that, reach the driver."""
     t = F.col(f"`{text_col}`").cast("string")
-    rows = df.select(t.alias("text")).where(t.isNotNull()).orderBy(F.xxhash64("text")).limit(sample).collect()
-    return [name for name, _, _ in estimate([r.text for r in rows])]
+    rows = df.select(t.alias("text")).where(t.isNotNull() & (F.octet_length(t) <= LONG)).withColumn("h", F.xxhash64("text"))
+    n = df.count()
+    bound = min((1 << 63) - 1, -(1 << 63) + int(SPARE * sample / max(n, 1) * (1 << 64)))
+    least = [r.h for r in rows.where(F.col("h") <= bound).select("h").distinct().orderBy("h").limit(sample).collect()]
+    found = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).collect() if least else []
+    return [name for name, _, _ in estimate([r.text for r in sorted(found, key=lambda r: r.h)])]
 
 
 def judge(df: DataFrame, order: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
