@@ -13,9 +13,14 @@ gathered in one task.
 Only DataFrame operations are used.  The rounds read sums of a table that has
 one row a source; the driver sees two numbers a round.
 
+A document's place in the order follows from the seed, its doc_id, source and
+text, and, among rows equal in all three, from a number 0, 1, ... of its own, so
+that rows with one id or none, and copies, are taken one by one.  Numbers are
+counted inside input partitions first, so that a group of copies is no task.
+
 Defined results.  Null text: size 0, taken 0.  Null source: a source of its own.
-Sources without words: target 0.  Documents with equal doc_id in one source tie
-in the order and are taken alike, by the sum of their sizes.  Reruns agree.
+Sources without words: target 0.  Repeated rows are documents of their own; which
+of them are taken makes no difference, how many does not change from run to run.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from inkstone.llm.common import cut, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2.0, "mix-1"
-LEVELS, BITS, SALTS = 4, 12, 32
+LEVELS, BITS = 4, 12
+SPREAD, MOST_SALTS = 1_000_000, 4096  # rows of one source in a task; salts at most
 
 
 def size_of(text: Column) -> Column:
@@ -62,28 +68,58 @@ def targets(sizes: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOC
     return src.select("source", "source_size", "weight", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def order_hash(seed: str) -> Column:
-    """48 seeded bits of a document's id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+def identity(seed: str) -> Column:
+    """A digest of the seed and of a document's id, source and text."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    return F.md5(F.concat_ws(":", F.lit(seed), part("doc_id"), part("source"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``i``: 0, 1, ... among rows with one ``id``."""
+    again = rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("_id"))
+    if not again.limit(1).count():
+        return rows.withColumn("i", F.lit(0).cast("long"))
+    rows = cut(rows.withColumn("_p", F.spark_partition_id()))
+    again = cut(again)
+    same = F.col("id") == F.col("_id")
+    once = rows.join(again, same, "left_anti").withColumn("i", F.lit(0).cast("long"))
+    more = rows.join(again, same, "left_semi")
+    parts = more.groupBy("id", "_p").agg(F.count("*").alias("_n"))
+    before = parts.select(F.col("id").alias("_id"), F.col("_p").alias("_q"), (F.sum("_n").over(Window.partitionBy("id").orderBy("_p")) - F.col("_n")).alias("_b"))  # a row a partition
+    own = more.withColumn("i", F.row_number().over(Window.partitionBy("id", "_p").orderBy("id")))
+    own = own.join(before, same & (F.col("_p") == F.col("_q"))).withColumn("i", F.col("i") - 1 + F.col("_b"))
+    return once.select(*rows.columns, "i").unionByName(own.select(*rows.columns, "i")).drop("_p")
+
+
+def order_hash() -> Column:
+    """48 bits of a numbered document."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id"), F.col("i").cast("string"))), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+
+
+def salts_for(rows: int, sources: int) -> int:
+    """Over how many tasks the rows of one source are spread; salting never makes the sources' table larger than a tenth of the rows."""
+    return max(1, min(MOST_SALTS, rows // SPREAD, rows // (10 * max(sources, 1))))
 
 
-def by_source(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """Joins a row a source (its key is ``s``) to (source, h, ...) rows; a hot source is spread over ``SALTS`` tasks."""
-    small = small.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.pmod("h", F.lit(SALTS)).cast("int") == F.col("salt"))
+def by_source(rows: DataFrame, small: DataFrame, salts: int) -> DataFrame:
+    """Joins a row a source (its key is ``s``) to (source, h, ...) rows; a hot source is spread over ``salts`` tasks."""
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.pmod("h", F.lit(salts)).cast("int") == F.col("salt"))
     return rows.join(small, same).drop("s", "salt")
 
 
-def plan(sizes: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """s (a source), source_size, target, whole, rest, last from (source, size, h) rows: documents with h up to ``last`` are taken once more."""
+def plan(sizes: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> tuple[DataFrame, int]:
+    """s (a source), source_size, target, whole, rest, last from (source, size, h) rows: documents with h up to ``last``
+    are taken once more; and the number of salts for joins of such rows."""
     goal = targets(sizes, share, max_epochs)
     # whole repetitions, and the words still wanted of one more
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int"))
+    salts = salts_for(sizes.count(), goal.count())
     goal = cut(goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
     # by source: the hash prefix in which the wanted words end; what lies below it is taken
     at = goal.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("below"))
     for k in range(1, LEVELS + 1):
-        inside = by_source(sizes, at.select(F.col("source").alias("s"), "prefix")).withColumn("b", F.shiftright("h", (LEVELS - k) * BITS))
+        inside = by_source(sizes, at.select(F.col("source").alias("s"), "prefix"), salts).withColumn("b", F.shiftright("h", (LEVELS - k) * BITS))
         sums = inside.where(F.shiftright("b", BITS) == F.col("prefix")).groupBy("source", "b").agg(F.sum("size").alias("n"))
         run = Window.partitionBy("source").orderBy("b")  # at most 4,096 rows a source
         sums = sums.withColumn("to", F.sum("n").over(run)).select(F.col("source").alias("s"), "b", "n", "to")
@@ -97,11 +133,12 @@ def plan(sizes: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS)
     # the document at the cut is taken too if that comes nearer the target
     last = F.when(F.col("below") + F.col("n") - F.col("rest") < F.col("rest") - F.col("below"), F.col("prefix")).otherwise(F.col("prefix") - 1)
     ends = at.select(F.col("source").alias("s"), last.alias("last"))
-    return cut(goal.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "whole", "rest", "last"))
+    return cut(goal.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "whole", "rest", "last")), salts
 
 
 def measured(df: DataFrame, seed: str = SEED) -> DataFrame:
-    return cut(df.select("doc_id", "source", size_of(F.col("text").cast("string")).alias("size"), order_hash(seed).alias("h")))
+    rows = cut(df.select("doc_id", "source", size_of(F.col("text").cast("string")).alias("size"), identity(seed).alias("id")))
+    return cut(numbered(rows).select("doc_id", "source", "size", order_hash().alias("h")))
 
 
 def copies() -> Column:
@@ -111,14 +148,14 @@ def copies() -> Column:
 def shares(df: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (repetitions the mix takes), one row per row of ``df``."""
     sizes = measured(df, seed)
-    return by_source(sizes, plan(sizes, share, max_epochs)).select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"))
+    return by_source(sizes, *plan(sizes, share, max_epochs)).select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"))
 
 
 def mix(df: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: rows of ``df``, each as often as the mix takes it."""
     goal = plan(measured(df, seed), share, max_epochs)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), "source", order_hash(seed).alias("h"))
-    taken = by_source(rows, goal).select("row", copies().alias("copies")).where("copies > 0")
+    rows = numbered(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), "source", identity(seed).alias("id")))
+    taken = by_source(rows.withColumn("h", order_hash()), *goal).select("row", copies().alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
@@ -132,8 +169,8 @@ ORACLE_SQL = {
     "op6_mixing": """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS h
-  FROM documents),
+         ('0x' || substr(md5(id || ':' || (row_number() OVER (PARTITION BY id) - 1)), 1, 12))::BIGINT AS h
+  FROM (SELECT *, md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), md5(coalesce(text, '')))) AS id FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3]::DOUBLE AS weight FROM s),
 o AS (
