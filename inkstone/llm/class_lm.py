@@ -2,78 +2,94 @@
 
 Tokens are the words of a lower-cased text and one end.  P(word | before) =
 P(class | class before) * P(word | class), both smoothed.  Exchange clustering
-assigns the classes, distributed: words with at least ``SHARE`` of all training
-tokens (so at most 1 / SHARE of them, whatever the corpus) are units of their
-own, all others are units by their last two bytes (``ENDINGS`` of them).  Counts
-of unit pairs lie in a table; each turn counts, in Spark, every unit's
-neighbours by class, and every unit of one half moves to the class in which its
-tokens are likeliest.  The driver holds units by classes, never words by words.
-
-Scores need the count of every word, and the vocabulary grows with the corpus.
-Documents are dealt to blocks of about ``BLOCK`` bytes; the distinct rare words
-of a block (not its tokens) are joined with the vocabulary, and the block is
-scored with what comes back.
+assigns the classes, distributed, in two steps:
+
+1. Words with at least ``SHARE`` of all training tokens (so at most 1 / SHARE of
+   them, whatever the corpus) are units of their own, all others are units by
+   their last two bytes (``ENDINGS`` of them).  Counts of unit pairs lie in a
+   table; each turn counts, in Spark, every unit's neighbours by class, and every
+   unit of one half moves to the class in which its tokens are likeliest.  Turns
+   end when both halves in a row gain no more than ``GAIN`` of the likelihood.
+   The driver holds units by classes, never words by words.
+2. Every other word of the vocabulary, however rare, moves by itself: its
+   neighbours are counted by class over all its training tokens, and it goes to
+   the class in which they are likeliest.  Words and counts stay distributed:
+   one row a word and batch, one vector a word in the task that holds it.
+
+Transitions between classes are then counted over all training tokens with the
+classes that words ended up with.
+
+Documents are dealt to blocks of about ``BLOCK`` bytes.  The distinct words of
+each block with their counts are one table: summed by word it is the vocabulary,
+and joined with it a block's documents get the counts and classes of their words.
 
 Defined results.  Null or empty text: the end alone.  Repeated rows: each counts
 and is scored.  No training documents: every count is 0, scores follow from the
-smoothing.  Extra columns are dropped.
+smoothing.  Extra columns are dropped; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import cut, slices, table, texts_of
+from inkstone.llm.common import Ids, cut, ready, slices, table, texts_of
 
-SHARE, ENDINGS, CLASSES, TURNS, BLOCK = 1e-4, 256, 32, 5, 16_000_000
-END, BYTES = b" ", b"  "  # no word holds a space; BYTES carries the corpus size along with the counts
+SHARE, ENDINGS, LEAST_CLASSES, MOST_CLASSES, BLOCK = 1e-4, 256, 32, 128, 16_000_000
+TURNS, GAIN = 60, 1e-5
+END = b" "  # no word holds a space
 PRIOR, PAIRS = 8.0, 4_000_000
-WORDS = 500_000
+WORDS, BUCKET = 500_000, 200_000  # words remembered by a worker; words whose vectors one task holds, about
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of training documents, with the ends and, under BYTES, the size of all documents."""
+def flat(texts: list[bytes]) -> list[bytes]:
+    """All tokens in a row, an end before the first text and after each."""
+    return [END, *chain.from_iterable((*tokens(t), END) for t in texts)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return out
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % ENDINGS
 
-        for b in slices(batches):
-            for t, train in zip(texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
-                seen[BYTES] += len(t)
-                if train:
-                    seen.update(tokens(t))
-                    seen[END] += 1
-            if len(seen) > WORDS:
-                yield rows()
-        yield rows()
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def dealt(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, text, train, block of (doc_id, text, train)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.select("doc_id", "text", "train", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block)))).cast("int").alias("block"))
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % ENDINGS
+def block_words(docs: DataFrame) -> DataFrame:
+    """(block, word, c): the distinct words of a block, and how often they are in its training documents; ends count too."""
+
+    def run(t: pa.Table) -> pa.Table:
+        seen: Counter = Counter()
+        for x, train in zip(texts_of(t.column("text").combine_chunks()), t.column("train").to_pylist(), strict=True):
+            if train:
+                seen.update(tokens(x))
+                seen[END] += 1
+            else:
+                for w in {*tokens(x), END}:
+                    seen[w] += 0
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.binary()), "c": pa.array(list(seen.values()), pa.int64())})
+
+    return docs.groupBy("block").applyInArrow(run, "block int, word binary, c long")
 
 
 @dataclass
 class Units:
-    """Frequent words and their numbers; rare words are numbered by ending behind them."""
+    """Frequent words and their numbers; all others are numbered by ending behind them."""
 
     words: dict[bytes, int]
     counts: np.ndarray
@@ -99,21 +115,16 @@ def pair_counts(docs: DataFrame, units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = units.value
         of, size, held, n = own.cache(), own.size, [], 0
-        end = of[END]
 
         def rows() -> pa.RecordBatch:
             key, count = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(count.astype(np.int64))], ["u", "v", "n"])
 
         for b in slices(batches):
-            for t, train in zip(texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
-                if train:
-                    w = tokens(t)
-                    u = np.empty(len(w) + 2, np.int64)
-                    u[0] = u[-1] = end
-                    u[1:-1] = np.fromiter(map(of.__getitem__, w), np.int64, len(w))
-                    held.append(u[:-1] * size + u[1:])
-                    n += len(w)
+            w = flat(texts_of(b.column(0)))
+            u = np.fromiter(map(of.__getitem__, w), np.int64, len(w))
+            held.append(u[:-1] * size + u[1:])
+            n += len(w)
             if len(of) > WORDS + len(own.words):
                 of = own.cache()
             if n > PAIRS:
@@ -122,7 +133,7 @@ def pair_counts(docs: DataFrame, units) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    return docs.where("train").select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
 def neighbours(pairs: DataFrame, assign: np.ndarray, classes: int) -> np.ndarray:
@@ -152,124 +163,198 @@ def transitions(near: np.ndarray, assign: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def likelihood(m: np.ndarray) -> float:
+    """Log-likelihood of the classes' sequence, up to a part that no exchange changes."""
+    x = lambda a: float((a * np.log(np.maximum(a, 1))).sum())
+    return x(m) - x(m.sum(0)) - x(m.sum(1))
+
+
+def gains(near: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """[word, class]: log-likelihood of the word's neighbours if it were in the class, by the transitions ``m``."""
+    step = np.log((m + 0.1) / (m.sum(1) + 0.1 * len(m))[:, None])
+    return near[:, 0] @ step + near[:, 1] @ step.T - near[:, 0].sum(1)[:, None] * np.log(m.sum(0) + 1.0)[None, :]
+
+
 def exchange(near: np.ndarray, assign: np.ndarray, turn: int) -> np.ndarray:
     """Moves every second unit to the class in which its tokens are likeliest, all other units held."""
-    m = transitions(near, assign)
-    n = m.sum(0)
-    step = np.log((m + 0.1) / (m.sum(1) + 0.1 * len(m))[:, None])
-    gain = near[:, 0] @ step + near[:, 1] @ step.T - near[:, 0].sum(1)[:, None] * np.log(n + 1.0)[None, :]
+    gain = gains(near, transitions(near, assign))
     best = gain.argmax(1)
     half = (np.arange(len(assign)) + turn) % 2 == 0
     return np.where(half & (gain[np.arange(len(assign)), best] > gain[np.arange(len(assign)), assign]), best, assign)
 
 
+def clustered(pairs: DataFrame, units: Units, classes: int, turns: int = TURNS, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of the units, transitions, and the likelihood after each turn; turns end when two in a row gain too little."""
+    assign = np.array([ending(w) % classes for w in units.words] + [e % classes for e in range(ENDINGS)])
+    near = neighbours(pairs, assign, classes)
+    best, seen, idle = assign, [likelihood(transitions(near, assign))], 0
+    for turn in range(turns):
+        assign = exchange(near, assign, turn)
+        near = neighbours(pairs, assign, classes)
+        now = likelihood(transitions(near, assign))
+        idle = 0 if now > max(seen) + gain * abs(max(seen)) else idle + 1
+        best = assign if now > max(seen) else best
+        seen.append(now)
+        if idle == 2:
+            break
+    return best, transitions(neighbours(pairs, best, classes), best), seen
+
+
+def own_classes(docs: DataFrame, units, assign: np.ndarray, m: np.ndarray, vocabulary: int) -> DataFrame:
+    """(word, class) of every training word that is no unit: that in which its neighbours are likeliest."""
+    classes = len(m)
+    sent = docs.sparkSession.sparkContext.broadcast((assign, m))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, a = units.value, sent.value[0]
+        frequent, of = len(own.words), own.cache()
+        ids, kind, held = Ids(), [], []
+
+        def rows() -> pa.RecordBatch:
+            x, before, after = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(x, kind="stable")
+            codes = np.stack([before[order], after[order] + classes], 1).astype(np.uint8)
+            words, first = np.unique(x[order], return_index=True)
+            names = list(ids)
+            stops = np.r_[first, len(x)] * 2
+            data = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in words.tolist()], pa.binary()), data], ["word", "codes"])
+
+        for b in slices(batches):
+            w = flat(texts_of(b.column(0)))
+            x = ids.of(w)
+            if len(ids) > len(kind):
+                names = list(ids)[len(kind) :]
+                kind += map(of.__getitem__, names)
+                of = own.cache() if len(of) > WORDS + frequent else of
+            u = np.array(kind)[x]
+            tail = np.flatnonzero(u[1:-1] >= frequent) + 1
+            held.append((x[tail], a[u[tail - 1]], a[u[tail + 1]]))
+            if len(ids) > WORDS:
+                yield rows()
+                ids, kind, held = Ids(), [], []
+        if held:
+            yield rows()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, total = Ids(), np.zeros((1024, 2 * classes), np.int32)
+        for b in batches:
+            row = ids.of(b.column(0).to_pylist())
+            while len(ids) > len(total):
+                total = np.concatenate([total, np.zeros_like(total)])
+            codes = b.column(1).to_pylist()
+            key = np.repeat(row, [len(c) for c in codes]) * 2 * classes + np.frombuffer(b"".join(codes), np.uint8)
+            np.add.at(total.ravel(), key, 1)
+        words = list(ids)
+        for i in range(0, len(words), 50_000):
+            near = total[i : min(i + 50_000, len(words))].reshape(-1, 2, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), pa.array(gains(near, sent.value[1]).argmax(1).astype(np.int32))], ["word", "class"])
+
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary // BUCKET))
+    seen = docs.where("train").select("text").mapInArrow(contexts, "word binary, codes binary").repartition(buckets, "word")
+    return seen.mapInArrow(best, "word binary, class int")
+
+
 @dataclass
 class ClassModel:
-    units: Units
-    assign: np.ndarray  # class of each unit
+    lumps: np.ndarray  # class of each ending, for words that no training document has
     step: np.ndarray  # log10 P(class | class before)
     below: np.ndarray  # log10 of each class's emission denominator
     n: int
     v: int
 
 
-def train(docs: DataFrame, classes: int = CLASSES, turns: int = TURNS) -> tuple[ClassModel, DataFrame, int]:
-    """The model, the vocabulary (word, c), and the corpus size in bytes."""
-    sc = docs.sparkSession.sparkContext
-    counted = cut(word_counts(docs))
-    vocab = counted.where(F.col("word") != F.lit(BYTES))
-    n, v = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*")).first())
-    size = sum(r.c for r in counted.where(F.col("word") == F.lit(BYTES)).collect())
-    rows = vocab.where((F.col("c") >= max(1, SHARE * n)) | (F.col("word") == F.lit(END))).collect()  # at most 1 / SHARE + 1 words
+def frequent(words: DataFrame, n: int) -> Units:
+    rows = words.where((F.col("c") >= max(1, SHARE * n)) | (F.col("word") == F.lit(END))).collect()  # at most 1 / SHARE + 1 words
     rows.sort(key=lambda r: (-r.c, bytes(r.word)))
-    units = Units({bytes(r.word): i for i, r in enumerate(rows)} or {END: 0}, np.array([r.c for r in rows] or [0]))
+    return Units({bytes(r.word): i for i, r in enumerate(rows)} or {END: 0}, np.array([r.c for r in rows] or [0]))
+
+
+def moved_transitions(docs: DataFrame, known: DataFrame, lumps: np.ndarray, classes: int) -> np.ndarray:
+    """[class, class] over all training tokens, by the words' own classes."""
+    sent = docs.sparkSession.sparkContext.broadcast(lumps)
+
+    def count(docs_: pa.Table, words: pa.Table) -> pa.Table:
+        ids, _, k = looked_up(words, sent.value)
+        x = ids.of(flat(texts_of(docs_.column("text").combine_chunks()))) if docs_.num_rows else np.empty(0, np.int64)
+        u = k[x]
+        n = np.bincount(u[:-1] * classes + u[1:], minlength=classes * classes)
+        at = np.flatnonzero(n)
+        return pa.table({"k": pa.array(at), "n": pa.array(n[at])})
+
+    rows = docs.where("train").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(classes * classes)
+    for r in rows:
+        out[r.k] = r.n
+    return out.reshape(classes, classes)
+
+
+def looked_up(words: pa.Table, lumps: np.ndarray) -> tuple[Ids, np.ndarray, np.ndarray]:
+    """Numbers of a block's words, their counts and their classes."""
+    names = words.column("word").to_pylist()
+    ids = Ids(zip(names, range(len(names)), strict=True))
+    k = words.column("class").to_numpy().astype(np.float64)
+    for i in np.flatnonzero(np.isnan(k)).tolist():
+        k[i] = lumps[ending(names[i])]
+    return ids, words.column("c").to_numpy(), k.astype(np.int64)
+
+
+def train(docs: DataFrame, classes: int | None = None, turns: int = TURNS) -> tuple[ClassModel, DataFrame]:
+    """The model, and (block, word, c, class): of every block its words with count in all training documents and class.
+    ``docs`` is what ``dealt`` gives."""
+    sc = ready(docs.sparkSession).sparkContext
+    words = cut(block_words(docs))
+    vocab = cut(words.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")))
+    n, v = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*")).first())
+    units = frequent(vocab, n)
     sent = sc.broadcast(units)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, types, total = sent.value.words, np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
-        for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if w not in own:
-                    types[ending(w)] += 1
-                    total[ending(w)] += c
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS)), pa.array(types), pa.array(total)], ["e", "types", "tokens"])
-
-    types, total = np.ones(units.size), np.r_[units.counts, np.zeros(ENDINGS)].astype(float)
-    types[len(units.words) :] = 0
-    for r in vocab.select("word", "c").mapInArrow(rare, "e long, types long, tokens long").groupBy("e").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect():
-        types[len(units.words) + r.e], total[len(units.words) + r.e] = r.types, r.tokens
-    pairs = cut(pair_counts(docs, sent))
-    assign = np.array([ending(w) % classes for w in units.words] + [e % classes for e in range(ENDINGS)])
-    for turn in range(turns):
-        assign = exchange(neighbours(pairs, assign, classes), assign, turn)
-    m = transitions(neighbours(pairs, assign, classes), assign)
-    own = np.bincount(assign, total, classes)
+    classes = classes or max(LEAST_CLASSES, min(MOST_CLASSES, math.isqrt(units.size)))
+    assign, m, _ = clustered(cut(pair_counts(docs, sent)), units, classes, turns)
+    fixed = docs.sparkSession.createDataFrame([(bytearray(w), int(assign[i])) for w, i in units.words.items()], "word binary, class int")  # at most 1 / SHARE + 1
+    of = cut(vocab.join(own_classes(docs, sent, assign, m, v).unionByName(fixed), "word"))
+    types, own = np.zeros(classes), np.zeros(classes)
+    for r in of.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        types[r["class"]], own[r["class"]] = r.v, r.c
+    known = cut(words.select("block", "word").join(of, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "class"))
+    lumps = assign[len(units.words) :]
+    m = moved_transitions(docs, known, lumps, classes)
     prior = (own + 0.5) / (own.sum() + 0.5 * classes)
     step = np.log10((m + PRIOR * prior[None, :]) / (m.sum(1) + PRIOR)[:, None])
-    below = np.log10(own + 0.5 * (np.bincount(assign, types, classes) + 1))
-    return ClassModel(units, assign, step, below, int(n), int(v)), vocab, size
+    return ClassModel(lumps, step, np.log10(own + 0.5 * (types + 1)), int(n), int(v)), known
 
 
-def scored(docs: DataFrame, model: ClassModel, vocab: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
+def scored(docs: DataFrame, model: ClassModel, known: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    blocks = max(1, -(-size // block))
-    dealt = docs.select("doc_id", "text", "train", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-
-    def rare(t: pa.Table) -> pa.Table:
-        own, found = sent.value.units.words, set()
-        for x in texts_of(t.column(1).combine_chunks()):
-            found.update(tokens(x))
-        found = [w for w in found if w not in own]
-        return pa.table({"block": pa.array([t.column(3)[0].as_py()] * len(found), pa.int32()), "word": pa.array(found, pa.binary())})
-
-    asked = dealt.groupBy("block").applyInArrow(rare, "block int, word binary")
-    known = asked.join(vocab, "word").select("block", "word", "c")
 
     def score(docs_: pa.Table, words: pa.Table) -> pa.Table:
-        m = sent.value
-        units, count = m.units.cache(), dict(zip(words.column(1).to_pylist(), words.column(2).to_pylist(), strict=True))
-        count.update(zip(m.units.words, m.units.counts.tolist(), strict=True))
-        ids: dict[bytes, int] = {}
-        unit, logc, some = [], [], []
-
-        class Ids(dict):
-            def __missing__(self, w: bytes) -> int:
-                self[w] = i = len(unit)
-                c = count.get(w, 0)
-                unit.append(m.assign[units[w]])
-                logc.append(np.log10(c + 0.5))
-                some.append(c > 0)
-                return i
-
-        ids = Ids()
-        end, each = ids[END], []
-        for t in texts_of(docs_.column(1).combine_chunks()):
-            w = tokens(t)
-            x = np.empty(len(w) + 1, np.int64)
-            x[:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-            x[-1] = end
-            each.append(x)
-        unit_, logc_, some_ = np.array(unit), np.array(logc), np.array(some)
-        base = np.log10(m.n + 0.5 * (m.v + 1))
-        out = []
-        for x in each:
-            k = unit_[x]
-            lc = logc_[x].sum()
-            before = np.r_[unit_[end], k[:-1]]
-            out.append((len(x), int(some_[x].sum()), lc - base * len(x), lc + m.step[before, k].sum() - m.below[k].sum()))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        n = len(out)
-        return pa.table({"doc_id": docs_.column(0), "held_out": pa.array([not t for t in docs_.column(2).to_pylist()]), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([m.n] * n, pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
+        m, n = sent.value, docs_.num_rows
+        ids, c, k = looked_up(words, m.lumps)
+        x = ids.of(flat(texts_of(docs_.column("text").combine_chunks()))) if n else np.empty(0, np.int64)
+        ends = np.flatnonzero(x == ids[END])
+        starts = ends[:-1] + 1 if n else ends
+        lc, u = np.log10(c + 0.5)[x], k[x]
+        inner = np.r_[0.0, m.step[u[:-1], u[1:]] - m.below[u[1:]]] if n else lc
+        total = lambda a: np.add.reduceat(a, starts) if n else a
+        size = np.diff(ends) if n else ends
+        emitted = total(lc)
+        base = emitted - np.log10(m.n + 0.5 * (m.v + 1)) * size
+        return pa.table({"doc_id": docs_.column("doc_id"), "held_out": pa.array([not t for t in docs_.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(total((c > 0)[x].astype(np.int64)), pa.int64()), "train_tokens": pa.array([m.n] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(emitted + total(inner), pa.float64())})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def class_scores(docs: DataFrame, classes: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Scores of (doc_id, text, train) rows by a model of the training ones."""
+    docs = dealt(docs, block)
+    return scored(docs, *train(docs, classes))
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), (~held_out).alias("train"))
-    return scored(docs, *train(docs))
+    return class_scores(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), (~held_out).alias("train")))
 
 
 QUERIES = {"op7_class_lm": op7_class_lm}
