@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("encode", encode)]
-#: SQL can express neither the classifier nor the alignment; no test compares the stages' decisions with brute force.
+#: SQL can express neither the classifier nor the alignment; tests/llm/test_pipeline_whole.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
