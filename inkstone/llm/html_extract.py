@@ -16,10 +16,11 @@ a content counts as imp, a style of one page as 1.
 
 From each page go the branches under elements whose composite importance is below
 a bar.  Roles of elements move the bar: ``LOW`` for elements outside article and
-main, ``INNER`` for those inside, ``DOUBT`` for those inside of which a part of a
-name looks like a role.  Where the role is plain (a nav element, a class "ad"), the
-branch goes whatever its importance: adverts and comments differ on every page, so
-their entropy says "content", and a host's only page has no entropy at all.
+main, ``INNER`` for those inside, ``DOUBT`` for those with the name of a role (a nav
+element, a class "ad") and for those inside an article of which a part of a name
+looks like one.  Above its bar an element with the name of a role goes too: adverts and
+comments differ on every page, so their entropy says "content", and a host's only
+page has no entropy at all.
 
 The tree is counted by (node, style) with partial sums over distinct pages, and
 its levels are joined by node, so a host with a third of all pages is spread over
@@ -65,7 +66,7 @@ ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re
 WORD = re.compile(r"[a-z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 PLAIN, INSIDE, DOUBTFUL, ROLE = range(4)
-BAR = {PLAIN: LOW, INSIDE: INNER, DOUBTFUL: DOUBT}
+BAR = {PLAIN: LOW, INSIDE: INNER, DOUBTFUL: DOUBT, ROLE: DOUBT}
 
 
 def host_of(url: str | None) -> str:
@@ -273,7 +274,7 @@ def importances(tree: DataFrame) -> DataFrame:
 
 
 def noise(importance: DataFrame) -> DataFrame:
-    """(node): those below their bar; plain roles need none."""
+    """(node): those below their bar."""
     bar = F.element_at(F.create_map(*[F.lit(x) for kv in BAR.items() for x in kv]), F.col("kind"))
     return importance.where(F.col("comp") < bar).select("node")
 
