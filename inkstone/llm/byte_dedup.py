@@ -7,40 +7,57 @@ Dealing out.  Every start of a LENGTH-byte string is owned by the string's
 minimizer: of its 32-byte strings the one with the least hash, the leftmost of
 equals.  Equal strings have equal minimizers at equal places, so only starts
 whose minimizers are equal can match.  One row for each run of starts with one
-owner: (minimizer, document, first start, last start).  Minimizers that occur
-once are dropped; of the others the bytes under the run are taken.  Equal runs
-of bytes become one row with their number (partial sums, so a passage in a third
-of all documents is a row a task), and minimizers are dealt to groups.
-
-In a group, threshold-bounded interval expansion: the runs, separated, are one
-text; its suffixes are sorted by their first 256 bytes and give a
-Burrows-Wheeler transform.  Breadth first, from the empty string, intervals of
-strings are extended backwards by every byte before them; an interval's right
-end gets the string's length as common prefix when it is first reached, and only
-then is the interval extended further.  That derives common prefixes by
-increasing value; it stops at LENGTH, and the ends not reached by then are
-neighbours that share LENGTH bytes or more.
-
-Defined results.  Null text is empty: nothing removed.  Texts under LENGTH bytes
-keep all.  Rows that repeat a doc_id and text are occurrences of their own.
-Extra columns are dropped; an empty table gives an empty one.  Long texts are
-cut into overlapping chunks for the minimizers only.
+owner: (minimizer, hash of the bytes under the run, text, first start, last
+start).  Minimizers that occur once are dropped.  Of the others, runs with equal
+bytes become one with their number (partial sums, so a passage in a third of all
+documents is a row a task); where several different ones share a minimizer, the
+bytes of one run of each are fetched and dealt to groups.
+
+In a group, runs go that share 116 bytes around the minimizer, to its left or to
+its right, with no other run: a LENGTH-byte string reaches that far on one side.
+Then threshold-bounded interval expansion: the runs, separated, are one text;
+its suffixes are sorted by their first 256 bytes and give a Burrows-Wheeler
+transform.  Breadth first, from the empty string, intervals of strings are
+extended backwards by every byte before them; an interval's right end gets the
+string's length as common prefix when it is first reached, and only then is the
+interval extended further.  That derives common prefixes by increasing value; it
+stops at LENGTH, and the ends not reached by then are neighbours that share
+LENGTH bytes or more.
+
+A minimizer with more than ``HOT`` different runs is no group of its own: its
+runs are cut into parts by how far a string reaches to the left of the minimizer
+(``WIDTHS`` places a part), equal parts merge with their number, and a part's
+group is the hash of the bytes that all strings of the part contain.  Parts that
+still have over HOT different runs are cut again, down to single strings, where
+equal group means equal bytes.  No run is dropped.
+
+Defined results.  A text is known by 128 bits of its hash; rows with equal text
+are occurrences of their own, each text's runs are stored once, and doc_id is
+only carried along, whatever its type, null or repeated.  Null text is empty:
+nothing removed.  Texts under LENGTH bytes keep all.  Extra columns are dropped;
+an empty table gives an empty one.  Long texts are cut into overlapping chunks
+for the minimizers only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import cut, ragged, ready, slices, table, texts_of
+from inkstone.llm.common import cut, forget, ragged, ready, slices, table, texts_of
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
+HALF = WINDOW // 2  # a LENGTH-byte string reaches so far from its minimizer on one side at least
+HOT, WIDTHS = 4096, (21, 3, 1)
+KEYS, BYTES_SENT = 1_000_000, 32 << 20  # text keys, and bytes of runs, that are broadcast at most; more are joined
 CHUNK = 1 << 20  # places in a chunk take 20 bits of the sort key
 GROUP = 2_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -58,8 +75,14 @@ UP, DOWN = _powers(BASE, CHUNK), _powers(INVERSE, CHUNK)
 BYTES = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def owners(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, minimizer hash) for each run of starts with one owner, over one text."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def owners(raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each run of starts with one owner, over one text: first start, last start, place of the minimizer from the
+    first start, hash of the minimizer, hash of the bytes under the run."""
     out = []
     for at in range(0, max(len(raw) - LENGTH + 1, 0), CHUNK - LENGTH):
         x = raw[at : at + CHUNK - 1]
@@ -67,9 +90,7 @@ def owners(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             break
         run = np.r_[np.zeros(1, np.uint64), np.cumsum(BYTES[x] * UP[: len(x)], dtype=np.uint64)]
         n = len(x) - GRAM + 1
-        h = (run[GRAM:] - run[:-GRAM]) * DOWN[:n]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
+        h = _mixed((run[GRAM:] - run[:-GRAM]) * DOWN[:n])
         key = (h & ~np.uint64(CHUNK - 1)) | np.arange(n, dtype=np.uint64)
         pad = -n % WINDOW
         grid = np.r_[key, np.full(pad, TOP)].reshape(-1, WINDOW)
@@ -81,10 +102,10 @@ def owners(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = (best[:starts] & np.uint64(CHUNK - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         last = np.r_[first[1:] - 1, starts - 1]
-        out.append((at + first, at + last, h[own[first]].view(np.int64)))
+        whole = _mixed((run[last + LENGTH] - run[first]) * DOWN[first] + (last - first).astype(np.uint64))
+        out.append((at + first, at + last, own[first] - first, h[own[first]].view(np.int64), whole.view(np.int64)))
     if not out:
-        e = np.empty(0, np.int64)
-        return e, e, e
+        return (np.empty(0, np.int64),) * 5
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -153,6 +174,8 @@ def shared(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
 
 def repeated(strings: list[bytes], counts: list[int], least: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each string the (start, end) runs of bytes covered by least-byte strings that start twice or more."""
+    if not strings:
+        return []
     lengths = np.array([len(s) for s in strings], np.int64)
     joined = b"\0".join(strings) + b"\0"
     raw = np.frombuffer(joined, np.uint8)
@@ -182,7 +205,13 @@ def repeated(strings: list[bytes], counts: list[int], least: int = LENGTH) -> li
     return out
 
 
+COVER = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+RUN = "m long, k long, lo int, more int, place int"
+
+
 def _runs(docs: DataFrame) -> DataFrame:
+    """(h1, h2, m, k, lo, more, place) of (h1, h2, text): a row for each run, k the hash of its bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             parts, n = [], []
@@ -190,63 +219,144 @@ def _runs(docs: DataFrame) -> DataFrame:
                 parts.append(owners(np.frombuffer(t, np.uint8)))
                 n.append(len(parts[-1][0]))
             row = pa.array(np.repeat(np.arange(b.num_rows), n))
-            lo, hi, h = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(h), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], ["ord", "tag", "m", "lo", "more"])
+            lo, hi, place, m, k = (np.concatenate(c) for c in zip(*parts, strict=True))
+            small = [pa.array(x.astype(np.int32)) for x in (lo, hi - lo, place)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(m), pa.array(k), *small], ["h1", "h2", "m", "k", "lo", "more", "place"])
 
-    return docs.mapInArrow(run, "ord long, tag int, m long, lo int, more int")
+    return docs.mapInArrow(run, f"h1 long, h2 long, {RUN}")
 
 
 def _strings(joined: DataFrame) -> DataFrame:
-    """(m, k, ord, tag, lo, s): the bytes under each run, and their hash, which with m has 128 bits."""
+    """(m, k, n, place, s) of (text, wanted): the bytes under the wanted runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
-            rows = []
-            texts = texts_of(b.column(2))
-            for o, th, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(3).to_pylist(), strict=True):
-                for x in found:
-                    s = t[x["lo"] : x["lo"] + x["more"] + LENGTH]
-                    rows.append((x["m"], xxhash.xxh3_64_intdigest(s) - (1 << 63), o, th, x["lo"], s))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["m", "k", "ord", "tag", "lo", "s"])
+            wanted, texts = b.column(1), texts_of(b.column(0))
+            each = wanted.flatten()
+            lo, more = (each.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("lo", "more"))
+            rows = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(wanted).to_numpy(zero_copy_only=False)).tolist()
+            s = [texts[r][a : a + e + LENGTH] for r, a, e in zip(rows, lo, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([each.field("m"), each.field("k"), each.field("n"), each.field("place"), pa.array(s, pa.binary())], ["m", "k", "n", "place", "s"])
 
-    return joined.mapInArrow(run, "m long, k long, ord long, tag int, lo int, s binary")
+    return joined.mapInArrow(run, "m long, k long, n long, place int, s binary")
 
 
-def spans(docs: DataFrame, size: int) -> DataFrame:
-    """(ord, tag, runs): for each text with bytes to remove, their (a, b) runs; ``docs`` is (ord, tag, text)."""
-    rows = _runs(docs)
-    twice = rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("g"))
-    # each phase is written, so that its shuffle files are gone before the next one makes its own
-    found = cut(rows.join(twice, F.col("m") == F.col("g")).groupBy("ord", "tag").agg(F.collect_list(F.struct("m", "lo", "more")).alias("found")))
-    strings = _strings(docs.join(found, ["ord", "tag"]).select("ord", "tag", "text", "found"))
-    one = strings.groupBy("m", "k").agg(F.count("*").alias("n"), F.first("s").alias("s"))
-    groups = max(1, -(-size // GROUP))
+def partnered(m: list[int], place: list[int], s: list[bytes]) -> list[int]:
+    """Numbers of the runs that share ``HALF`` bytes to the left or right of one minimizer, and itself, with another."""
+    seen, keys = Counter(), []
+    for g, p, x in zip(m, place, s, strict=True):
+        left = (g, x[p - HALF : p + GRAM]) if p >= HALF else None
+        right = (g, 1, x[p : p + GRAM + HALF]) if len(x) >= p + GRAM + HALF else None
+        keys.append((left, right))
+        seen[left] += 1
+        seen[right] += 1
+    del seen[None]
+    return [i for i, (a, b) in enumerate(keys) if seen[a] > 1 or seen[b] > 1]
+
+
+def _expanded(strings: DataFrame, groups: int) -> DataFrame:
+    """(m, k, cover) of (m, k, n, place, s): what of each run other starts cover, group by group."""
 
     def expand(t: pa.Table) -> pa.Table:
-        strings_ = [x for c in t.column(3).chunks for x in c.to_pylist()]
-        out = repeated(strings_, t.column(2).to_pylist())
-        keep = [i for i, x in enumerate(out) if x]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.table({"gm": t.column(0).take(pa.array(keep, pa.int64())), "gk": t.column(1).take(pa.array(keep, pa.int64())), "cover": pa.array([[{"a": a, "b": b} for a, b in out[i]] for i in keep], kind)})
+        m, n, place, s = (t.column(c).to_pylist() for c in ("m", "n", "place", "s"))
+        cover = [[(0, len(x))] if c > 1 else [] for x, c in zip(s, n, strict=True)]
+        some = partnered(m, place, s)
+        for i, x in zip(some, repeated([s[i] for i in some], [n[i] for i in some]), strict=True):
+            cover[i] = x
+        keep = [i for i, x in enumerate(cover) if x]
+        at = pa.array(keep, pa.int64())
+        return pa.table({"m": t.column("m").take(at), "k": t.column("k").take(at), "cover": pa.array([[{"a": a, "b": b} for a, b in cover[i]] for i in keep], COVER)})
 
-    grouped = one.withColumn("g", F.pmod("m", F.lit(groups)).cast("int")).select("m", "k", "n", "s", "g")
-    cover = grouped.groupBy("g").applyInArrow(expand, "gm long, gk long, cover array<struct<a:int,b:int>>")
-    places = strings.select("m", "k", "ord", "tag", "lo").join(cover, (F.col("m") == F.col("gm")) & (F.col("k") == F.col("gk")))
-    return cut(places.select("ord", "tag", F.explode("cover").alias("c"), "lo").groupBy("ord", "tag").agg(F.collect_list(F.struct((F.col("lo") + F.col("c.a")).alias("a"), (F.col("lo") + F.col("c.b")).alias("b"))).alias("runs")))
+    return strings.withColumn("g", F.pmod("m", F.lit(groups)).cast("int")).groupBy("g").applyInArrow(expand, "m long, k long, cover array<struct<a:int,b:int>>")
 
 
-def dedup_bytes(df: DataFrame) -> DataFrame:
+def _groups(strings: DataFrame, length) -> int:
+    return max(1, -(-(strings.agg(F.sum(length)).first()[0] or 0) // GROUP))
+
+
+def _parted(strings: DataFrame, width: int) -> DataFrame:
+    """(m, k, off, m2, k2, n, place, s): runs cut by how far a string reaches to the left of the minimizer, ``width`` places a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200_000):
+            rows = []
+            for m, k, n, place, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for part in range(max(0, place - (len(s) - LENGTH)) // width, place // width + 1):
+                    least, most = part * width, min((part + 1) * width - 1, WINDOW - 1)
+                    far = min(place, most)
+                    off = place - far
+                    x = s[off : place - max(least, place - (len(s) - LENGTH)) + LENGTH]
+                    core = s[place - least : place - most + LENGTH]  # in every string of the part
+                    rows.append((m, k, off, xxhash.xxh3_64_intdigest(core, part) - (1 << 63), xxhash.xxh3_64_intdigest(x, far) - (1 << 63), n, far, x))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["m", "k", "off", "m2", "k2", "n", "place", "s"])
+
+    return strings.select("m", "k", "n", "place", "s").mapInArrow(run, "m long, k long, off int, m2 long, k2 long, n long, place int, s binary")
+
+
+def _split(strings: DataFrame, hot: int, widths: tuple[int, ...]) -> DataFrame:
+    """(m, k, cover) of the runs of hot minimizers, by parts; at width 1 every group has one run."""
+    strings = cut(strings)
+    parts = _parted(strings, widths[0])  # made twice; its bytes are never written
+    bare = cut(parts.groupBy("m2", "k2").agg(F.sum("n").alias("n"), F.first(F.struct("place", "s")).alias("x")).select(F.col("m2").alias("m"), F.col("k2").alias("k"), "n", "x.*"))
+    one = bare.join(bare.groupBy("m").agg(F.count("*").alias("runs")), "m")
+    whole = one.where("runs = 1 and n > 1").select("m", "k", F.array(F.struct(F.lit(0).alias("a"), F.length("s").alias("b"))).alias("cover"))
+    small = one.where((F.col("runs") > 1) & (F.col("runs") <= hot)).drop("runs")
+    cover = whole.unionByName(_expanded(small, _groups(small, F.length("s"))))
+    rest = one.where(F.col("runs") > hot).drop("runs")
+    if len(widths) > 1 and rest.limit(1).count():
+        cover = cover.unionByName(_split(rest, hot, widths[1:]))
+    cover = cover.select(F.col("m").alias("m2"), F.col("k").alias("k2"), "cover")
+    moved = F.transform("cover", lambda c: F.struct((c["a"] + F.col("off")).alias("a"), (c["b"] + F.col("off")).alias("b")))
+    out = cut(parts.select("m", "k", "off", "m2", "k2").join(cover, ["m2", "k2"]).select("m", "k", moved.alias("cover")))
+    forget(strings, bare)
+    return out
+
+
+def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(h1, h2, runs): for each text with bytes to remove, their (a, b) runs; ``docs`` is (h1, h2, text)."""
+    rows = _runs(docs)
+    twice = rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select(F.col("m").alias("g"))
+    # each phase is written, so that its shuffle files are gone before the next one makes its own;
+    # equal texts have equal runs: the set is one text's, and the number of rows tells how many texts there are
+    found = rows.join(twice, F.col("m") == F.col("g")).groupBy("h1", "h2").agg(F.collect_set(F.struct("m", "k", "lo", "more", "place")).alias("found"), F.count("*").alias("rows"))
+    found = cut(found)
+    each = found.select("h1", "h2", (F.col("rows") / F.size("found")).cast("long").alias("n"), F.explode("found").alias("f")).select("h1", "h2", "n", "f.*")
+    counted = cut(each.groupBy("m", "k").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "lo", "more", "place")).alias("x")))
+    one = counted.join(counted.groupBy("m").agg(F.count("*").alias("runs")), "m")
+    whole = one.where("runs = 1 and n > 1").select("m", "k", F.array(F.struct(F.lit(0).alias("a"), (F.col("x.more") + LENGTH).alias("b"))).alias("cover"))
+    need = one.where("runs > 1")
+
+    def fetched(runs: DataFrame) -> DataFrame:
+        wanted = runs.groupBy("x.h1", "x.h2").agg(F.collect_list(F.struct("m", "k", "n", "x.lo", "x.more", "x.place")).alias("wanted"))  # of one text
+        keys = runs.select("x.h1", "x.h2").distinct()
+        few = docs.join(F.broadcast(keys), ["h1", "h2"], "left_semi") if keys.count() <= KEYS else docs
+        return _strings(few.dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"]).select("text", "wanted"))
+
+    cool = need.where(F.col("runs") <= hot)
+    covers = [cut(whole.unionByName(_expanded(fetched(cool), _groups(cool, F.col("x.more") + LENGTH))))]
+    if need.where(F.col("runs") > hot).limit(1).count():
+        covers.append(_split(fetched(need.where(F.col("runs") > hot)), hot, WIDTHS))
+    forget(counted)
+    cover = covers[0] if len(covers) == 1 else covers[0].unionByName(covers[1])
+    cover = cover.select(F.col("m").alias("gm"), F.col("k").alias("gk"), "cover")
+    places = each.join(cover, (F.col("m") == F.col("gm")) & (F.col("k") == F.col("gk"))).select("h1", "h2", "lo", F.explode("cover").alias("c"))
+    runs = cut(places.groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("lo") + F.col("c.a")).alias("a"), (F.col("lo") + F.col("c.b")).alias("b"))).alias("runs")))
+    forget(found, *covers)
+    return runs
+
+
+def dedup_bytes(df: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, removed (maximal (a, b) runs), kept (binary), one row per row of ``df``."""
     ready(df.sparkSession)
-    text = F.col("text").cast("string")
-    # the tag (32 bits of the text's hash) tells rows with one doc_id apart; rows equal in both count as so many occurrences
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.hash(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
-    joined = docs.join(spans(docs.select("ord", "tag", "text"), size), ["ord", "tag"], "left").select("doc_id", "text", "runs")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = df.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(10), text).alias("h2"), text.alias("text"))
+    runs = spans(docs.select("h1", "h2", "text"), hot)
+    size = runs.agg(F.sum(F.size("runs") * 8 + 32)).first()[0] or 0
+    joined = docs.join(F.broadcast(runs) if size <= BYTES_SENT else runs, ["h1", "h2"], "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in slices(batches):
             kept, removed, texts = [], [], texts_of(b.column(1))
             for t, runs in zip(texts, b.column(2).to_pylist(), strict=True):
@@ -259,7 +369,7 @@ def dedup_bytes(df: DataFrame) -> DataFrame:
                 ends = [0, *(y for m in merged for y in m), len(t)]
                 kept.append(b"".join(t[a:e] for a, e in zip(ends[::2], ends[1::2], strict=True)))
                 removed.append([{"a": a, "b": e} for a, e in merged])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, COVER), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     return joined.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n_bytes long, removed array<struct<a:int,b:int>>, kept binary")
 
