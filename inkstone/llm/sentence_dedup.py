@@ -12,9 +12,11 @@ Only (hash, doc_id, place) rows are shuffled, first grouped with partial sums,
 so that a span in a third of all documents is one row a task; the join back is
 a plain sort-merge join, whose hot keys Spark splits.
 
-Defined results.  Null text stays null, empty text empty, nothing removed.  Rows
-with one doc_id (null is an id, the last) count as one document: their copies of
-one span are all first, save what repeats inside a text.  Other columns pass
+Defined results.  Null text stays null, empty text empty, nothing removed.  Ids
+that are whole numbers order documents; those without one, null or a word, come
+last, each text by a hash, so that their copies are found like all others.  Rows
+with one id number, or without one but with equal text, count as one document:
+their copies of one span are all first, save what repeats inside a text.  Other columns pass
 through ``dedup`` unchanged, whatever their names.
 """
 
@@ -29,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import slices, table
+from inkstone.llm.common import rank, slices, table
 
 MIN_WORDS, ALONE = 25, 50
 PIECE = re.compile(r"[^.!?\n]+[.!?]*[ \t\n\r\f]*|[.!?]+[ \t\n\r\f]*|\n[ \t\n\r\f]*")
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers of the two span hashes
-LAST = (1 << 63) - 1
 
 
 def pieces(text: str) -> list[str]:
@@ -106,7 +107,7 @@ def _span_rows(docs: DataFrame) -> DataFrame:
 
 def covered(df: DataFrame) -> DataFrame:
     """(ord, th, runs): for each text with non-first repeated spans, their places."""
-    docs = df.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("ord"), F.xxhash64("text").alias("th"), "text").where(F.col("text").isNotNull())
+    docs = df.select(rank(F.col("doc_id"), F.xxhash64("text")).alias("ord"), F.xxhash64("text").alias("th"), "text").where(F.col("text").isNotNull())
     rows = _span_rows(docs)
     first = rows.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
     first = first.where(F.col("first") < F.col("last")).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
@@ -116,7 +117,7 @@ def covered(df: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame) -> DataFrame:
     """``df`` with the sentences removed from ``text``, plus n_sentences and n_removed (in a struct ``_dedup``)."""
-    src = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("ord"), F.col("text").cast("string").alias("text"))
+    src = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), rank(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))).alias("ord"), F.col("text").cast("string").alias("text"))
     runs = covered(df.select("doc_id", F.col("text").cast("string").alias("text")))
     src = src.withColumn("th", F.xxhash64("text"))
     joined = src.join(runs, ["ord", "th"], "left").select("row", "text", "runs")
