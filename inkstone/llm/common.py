@@ -63,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = ready(df.sparkSession)
     with setting(spark, TIDY, "true"), setting(spark, BATCH_KEY, BATCH):
-        held = df.checkpoint(eager=True)._jdf
+        held = df.select("*").checkpoint(eager=True)._jdf  # a new plan: an execution takes the switch as it is when its plan is made
     out = DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
     where = held.queryExecution().logical().rdd().getCheckpointFile()
     out._written = where.get() if where.isDefined() else None
