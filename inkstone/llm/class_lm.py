@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import Ids, cut, ready, slices, table, texts_of
+from inkstone.llm.common import Ids, cut, forget, ready, slices, stored, table, texts_of
 
 SHARE, ENDINGS, LEAST_CLASSES, MOST_CLASSES, BLOCK = 1e-4, 256, 32, 128, 16_000_000
 TURNS, GAIN = 60, 1e-5
@@ -304,19 +304,22 @@ def train(docs: DataFrame, classes: int | None = None, turns: int = TURNS) -> tu
     """The model, and (block, word, c, class): of every block its words with count in all training documents and class.
     ``docs`` is what ``dealt`` gives."""
     sc = ready(docs.sparkSession).sparkContext
-    words = cut(block_words(docs))
+    words = stored(block_words(docs))
     vocab = cut(words.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*")).first())
     units = frequent(vocab, n)
     sent = sc.broadcast(units)
     classes = classes or max(LEAST_CLASSES, min(MOST_CLASSES, math.isqrt(units.size)))
-    assign, m, _ = clustered(cut(pair_counts(docs, sent)), units, classes, turns)
+    pairs = cut(pair_counts(docs, sent))
+    assign, m, _ = clustered(pairs, units, classes, turns)
+    forget(pairs)
     fixed = docs.sparkSession.createDataFrame([(bytearray(w), int(assign[i])) for w, i in units.words.items()], "word binary, class int")  # at most 1 / SHARE + 1
     of = cut(vocab.join(own_classes(docs, sent, assign, m, v).unionByName(fixed), "word"))
     types, own = np.zeros(classes), np.zeros(classes)
     for r in of.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         types[r["class"]], own[r["class"]] = r.v, r.c
-    known = cut(words.select("block", "word").join(of, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "class"))
+    known = stored(words.select("block", "word").join(of, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "class"))
+    forget(words, vocab, of)
     lumps = assign[len(units.words) :]
     m = moved_transitions(docs, known, lumps, classes)
     prior = (own + 0.5) / (own.sum() + 0.5 * classes)
