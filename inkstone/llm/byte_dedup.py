@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import cut, forget, ragged, ready, slices, table, texts_of
+from inkstone.llm.common import cut, forget, ragged, ready, slices, stored, table, texts_of
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -321,9 +321,9 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # each phase is written, so that its shuffle files are gone before the next one makes its own;
     # equal texts have equal runs: the set is one text's, and the number of rows tells how many texts there are
     found = rows.join(twice, F.col("m") == F.col("g")).groupBy("h1", "h2").agg(F.collect_set(F.struct("m", "k", "lo", "more", "place")).alias("found"), F.count("*").alias("rows"))
-    found = cut(found)
+    found = stored(found)
     each = found.select("h1", "h2", (F.col("rows") / F.size("found")).cast("long").alias("n"), F.explode("found").alias("f")).select("h1", "h2", "n", "f.*")
-    counted = cut(each.groupBy("m", "k").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "lo", "more", "place")).alias("x")))
+    counted = stored(each.groupBy("m", "k").agg(F.sum("n").alias("n"), F.min(F.struct("h1", "h2", "lo", "more", "place")).alias("x")))
     one = counted.join(counted.groupBy("m").agg(F.count("*").alias("runs")), "m")
     whole = one.where("runs = 1 and n > 1").select("m", "k", F.array(F.struct(F.lit(0).alias("a"), (F.col("x.more") + LENGTH).alias("b"))).alias("cover"))
     need = one.where("runs > 1")
