@@ -60,6 +60,18 @@ def flat(texts: list[bytes]) -> list[bytes]:
     return [END, *chain.from_iterable((*tokens(t), END) for t in texts)]
 
 
+def numbered(texts: list[bytes], ids: Ids) -> np.ndarray:
+    """The numbers of ``flat(texts)``, text by text, so that a block's tokens are never objects all at once."""
+    end, out = ids[END], []
+    for t in texts:
+        w = tokens(t)
+        x = np.empty(len(w) + 1, np.int64)
+        x[:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
+        x[-1] = end
+        out.append(x)
+    return np.concatenate([np.array([end]), *out])
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
@@ -277,7 +289,7 @@ def moved_transitions(docs: DataFrame, known: DataFrame, lumps: np.ndarray, clas
 
     def count(docs_: pa.Table, words: pa.Table) -> pa.Table:
         ids, _, k = looked_up(words, sent.value)
-        x = ids.of(flat(texts_of(docs_.column("text").combine_chunks()))) if docs_.num_rows else np.empty(0, np.int64)
+        x = numbered(texts_of(docs_.column("text").combine_chunks()), ids) if docs_.num_rows else np.empty(0, np.int64)
         u = k[x]
         n = np.bincount(u[:-1] * classes + u[1:], minlength=classes * classes)
         at = np.flatnonzero(n)
@@ -334,7 +346,7 @@ def scored(docs: DataFrame, model: ClassModel, known: DataFrame) -> DataFrame:
     def score(docs_: pa.Table, words: pa.Table) -> pa.Table:
         m, n = sent.value, docs_.num_rows
         ids, c, k = looked_up(words, m.lumps)
-        x = ids.of(flat(texts_of(docs_.column("text").combine_chunks()))) if n else np.empty(0, np.int64)
+        x = numbered(texts_of(docs_.column("text").combine_chunks()), ids) if n else np.empty(0, np.int64)
         ends = np.flatnonzero(x == ids[END])
         starts = ends[:-1] + 1 if n else ends
         lc, u = np.log10(c + 0.5)[x], k[x]
