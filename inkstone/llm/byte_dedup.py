@@ -57,7 +57,7 @@ LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
 HALF = WINDOW // 2  # a LENGTH-byte string reaches so far from its minimizer on one side at least
 HOT, WIDTHS = 4096, (21, 3, 1)
-KEYS, BYTES_SENT = 1_000_000, 32 << 20  # text keys, and bytes of runs, that are broadcast at most; more are joined
+KEYS = 1_000_000  # text keys that are broadcast at most; beyond that all texts are joined
 CHUNK = 1 << 20  # places in a chunk take 20 bits of the sort key
 GROUP = 2_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -352,9 +352,7 @@ def dedup_bytes(df: DataFrame, hot: int = HOT) -> DataFrame:
     ready(df.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = df.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(10), text).alias("h2"), text.alias("text"))
-    runs = spans(docs.select("h1", "h2", "text"), hot)
-    size = runs.agg(F.sum(F.size("runs") * 8 + 32)).first()[0] or 0
-    joined = docs.join(F.broadcast(runs) if size <= BYTES_SENT else runs, ["h1", "h2"], "left").select("doc_id", "text", "runs")
+    joined = docs.join(spans(docs.select("h1", "h2", "text"), hot), ["h1", "h2"], "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
