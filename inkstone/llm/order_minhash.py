@@ -20,11 +20,13 @@ most common buckets, then with others unless links already join the two.  Copies
 are in one component by then.  Buckets that still hold several:
  - of up to ``BUCKET`` nodes, all pairs of different components are compared;
  - larger ones hold texts around one passage or frame.  Their nodes are dealt
-   anew by what is rare: of the two-word runs that at most BUCKET of these nodes
-   have, each of ``RARE`` orders picks a node's least, and all pairs of different
-   components with an equal pick are compared.  Such buckets have at most BUCKET
-   nodes whatever the size of the old ones, so work grows with nodes, never with
-   the square of a group, and no node is left out.
+   anew, and exactly: of a text's n words a link leaves all but a fifth of the
+   longer, so linked texts share one of the n / 5 + 1 words that come first in any
+   fixed order of words (the n-th occurrence of a word is a word of its own).  The
+   order puts words first that few of these nodes have, by counts in ``SLOTS``
+   hash slots, so the new buckets are small where texts have words of their own.
+   Nodes of one component are never compared; buckets of over ``WHOLE`` nodes are
+   dealt in parts, and each pair of parts meets, but for those of one component.
 Pairs are passed on only if lengths and word histograms allow the similarity;
 both are bounds that no linked pair misses.
 
@@ -45,15 +47,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import cut, forget, keyed, rank, ready, slices, table, texts_of, without_broadcast
 from inkstone.llm.components import components
 
 FEW_SKETCHES = 24
-K, FEW, LONG, SKETCHES, SHORT, ANCHOR, SIMILARITY, BUCKET, RARE, BINS = 5, 2, 50, 64, 14, 5, 0.8, 256, 32, 256
-CACHE = 400_000
+K, FEW, LONG, SKETCHES, SHORT, ANCHOR, SIMILARITY, BUCKET, BINS = 5, 2, 50, 64, 14, 5, 0.8, 256, 256
+WHOLE, SLOTS, RUN = 4096, 1 << 18, 1024
+CACHE, CHAINED = 400_000, 1_000
 _RNG = np.random.default_rng(9)
 MULTIPLY = _RNG.integers(1 << 32, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 SHIFT = _RNG.integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64)
@@ -134,7 +137,7 @@ def keys_of(h: np.ndarray) -> np.ndarray:
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two word sequences if it is at most ``most``, else None: row by row over the diagonals of the band."""
+    """Edit distance of two word sequences if it is at most ``most``, else None: a whole row of differences is two integers' bits."""
     if abs(len(a) - len(b)) > most:
         return None
     for step in (1, -1):  # without what both begin and end with
@@ -142,27 +145,25 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         differ = np.flatnonzero(a[::step][:size] != b[::step][:size])
         cut_ = int(differ[0]) if len(differ) else size
         a, b = (a[cut_:], b[cut_:]) if step == 1 else (a[: len(a) - cut_], b[: len(b) - cut_])
-    n, m = len(a), len(b)
-    width = 2 * most + 1  # diagonal j - i = k - most
-    k = np.arange(width)
-    side = np.full(most, -1, np.int64)
-    ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x = inverse[:n]
-    y = np.concatenate([side, inverse[n:], side, side])  # y[j - 1 + most] is word j
-    far = most + 1
-    row = np.where(k >= most, k - most, far)
-    row[k - most > m] = far
-    for i in range(1, n + 1):
-        new = row + (y[i - 1 : i - 1 + width] != x[i - 1])
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        j = i + k - most
-        new[(j < 0) | (j > m)] = far
-        if i <= most:
-            new[most - i] = i
-        row = np.minimum(np.minimum.accumulate(new - k) + k, far)
-        if row.min() > most:
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, d = every, 0, len(a)  # where the next word of ``a`` adds an edit and where it takes one; edits of all of ``a``
+    room = most + len(b)
+    for w in b.tolist():
+        same = places.get(w, 0)
+        x = same | down
+        h = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(h | up)), up & h
+        d += (more >> last & 1) - (less >> last & 1)
+        room -= 1
+        if d > room:  # each word left takes one at most
             return None
-    d = int(row[m - n + most])
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(x | more)) & every, more & x & every
     return d if d <= most else None
 
 
@@ -208,7 +209,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
         return False
     if len(a) == len(b) and int((a != b).sum()) <= most:
         return True
-    return chained(a, b, most) <= most or edits_within(a, b, most) is not None
+    return long > CHAINED and chained(a, b, most) <= most or edits_within(a, b, most) is not None
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -266,14 +267,18 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+def binned(words: list[np.ndarray]) -> list[bytes]:
+    """How many words of each text fall into each of ``BINS`` by hash, up to 255."""
+    return [np.minimum(histogram(x), 255).astype(np.uint8).tobytes() for x in words]
+
+
 def histograms(words: DataFrame) -> DataFrame:
-    """(id, n, bins): the number of words, and how many fall into each of ``BINS`` by hash, up to 255."""
+    """(id, n, bins): the number of words, and their histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h = list(map(unpacked, b.column(1).to_pylist()))
-            bins = [np.minimum(histogram(x), 255).astype(np.uint8).tobytes() for x in h]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in h], pa.int32()), pa.array(bins, pa.binary())], ["id", "n", "bins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in h], pa.int32()), pa.array(binned(h), pa.binary())], ["id", "n", "bins"])
 
     return words.mapInArrow(run, "id long, n int, bins binary")
 
@@ -294,48 +299,120 @@ def possible(n: np.ndarray, bins: np.ndarray, label: np.ndarray) -> tuple[np.nda
 
 def within(entries: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b): the pairs of nodes of one bucket that have different labels and may be linked.  ``entries``: h, id, label; at most BUCKET of an h."""
-    x = entries.join(histograms(words.join(entries.select("id").distinct(), "id", "left_semi")), "id")
-    groups = x.groupBy("h").agg(F.collect_list(F.struct("id", "label", "n", "bins")).alias("m"))
+    return met(entries.join(histograms(words.join(entries.select("id").distinct(), "id", "left_semi")), "id"))
+
+
+def met(x: DataFrame) -> DataFrame:
+    """As ``within``, of (h, id, label, n, bins) rows."""
+    groups = x.groupBy("h").agg(F.collect_list(F.struct("id", "label", "n", "bins")).alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+
+    def packed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        keep = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        a, b = a[keep], b[keep]
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+        return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(a)], pa.int32()), pa.array(b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, size = [], 0
         for b in slices(batches, 16_000_000):
-            seen = set()
             for m in b.column(0):
                 m = m.values
                 id_, label = (m.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
                 bins = np.frombuffer(b"".join(m.field("bins").to_pylist()), np.uint8).reshape(len(id_), -1)
                 i, j = possible(m.field("n").to_numpy(zero_copy_only=False), bins, label)
-                seen.update(zip(np.maximum(id_[i], id_[j]).tolist(), np.minimum(id_[i], id_[j]).tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen], pa.int64()) for k in (0, 1)], ["a", "b"])
+                pairs.append((np.maximum(id_[i], id_[j]), np.minimum(id_[i], id_[j])))
+                size += len(i)
+                if size > 500_000:
+                    yield packed(pairs)
+                    pairs, size = [], 0
+        yield packed(pairs)
 
-    return groups.select("m").mapInArrow(run, "a long, b long").distinct()
+    # a pair is found in each bucket that it shares: a node's partners travel in one row a task
+    lists = groups.select("m").mapInArrow(run, "a long, b array<long>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
+    return lists.select("a", F.explode("b").alias("b"))
 
 
-def rare_entries(members: DataFrame, words: DataFrame, most: int) -> DataFrame:
-    """(h, id) of (id) rows: for each of ``RARE`` orders a node's least two-word run among those that at most ``most`` members have."""
+def occurrences(words: bytes) -> np.ndarray:
+    """Hashes of a text's words, those of later occurrences told apart: no two are equal."""
+    return labelled(kmers(unpacked(words), 1))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1_000_000):
-            x = [np.unique(kmers(unpacked(t), FEW)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(k) for k in x])), pa.array(np.concatenate(x))], ["id", "run"])
 
-    every = words.join(members, "id", "left_semi").select("id", "words").mapInArrow(runs, "id long, run long")
-    # the first most + 1 nodes of each run, limited in each task before anything moves, tell whether there are more than ``most``
-    by = Window.partitionBy("run")
-    some = every.withColumn("nth", F.row_number().over(by.orderBy("id"))).where(F.col("nth") <= most + 1)
-    rare = some.withColumn("df", F.count("*").over(by)).where((F.col("df") > 1) & (F.col("df") <= most))
-    of = rare.groupBy("id").agg(F.collect_list("run").alias("runs"))  # of one text
+def slots(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
 
-    def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tally(texts: DataFrame, large: list[int]) -> np.ndarray:
+    """How many (label, words) rows have a word, by its slot: all of them, and those whose label is not in ``large``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, SLOTS), np.int64)
         for b in slices(batches, 1_000_000):
-            out = []
-            for x in b.column(1):
-                x = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                least = x[np.argmin(x[None, :] * MULTIPLY[:RARE, None], axis=1)]
-                out.append(mixed(least + SHIFT[1, :RARE]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(b.column(0).to_numpy(), RARE))], ["h", "id"])
+            x, other = list(map(occurrences, b.column(1).to_pylist())), ~np.isin(b.column(0).to_numpy(), large)
+            for i, some in enumerate((x, [t for t, o in zip(x, other, strict=True) if o])):
+                n[i] += np.bincount(slots(np.concatenate(some)), minlength=SLOTS) if some else 0
+        n = n.reshape(-1, RUN)
+        at = np.flatnonzero(n.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([n[i].tobytes() for i in at], pa.binary())], ["at", "n"])
+
+    def added(t: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in t.column("n").to_pylist())
+        return pa.table({"at": t.column("at")[:1], "n": pa.array([n.tobytes()], pa.binary())})
+
+    kind, out = "at long, n binary", np.zeros((2 * SLOTS // RUN, RUN), np.int64)
+    got = texts.select("label", "words").mapInArrow(run, kind).groupBy("at").applyInArrow(added, kind).toArrow()  # 4 MB at most
+    for at, n in zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True):
+        out[at] = np.frombuffer(n, np.int64)
+    return out.reshape(2, SLOTS)
+
+
+def rare_entries(texts: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(h, id, label, n, bins) of (id, label, words) rows: linked nodes of different labels have an h in common.
+
+    A node has an entry for each of its first words in the order of rarity.  A word of over ``whole`` nodes is dealt in
+    parts of half as many: labels of over ``whole`` nodes by themselves, the rest together; an entry goes to every pair
+    of parts with its own, but for those of one such label.
+    """
+    large = {r.label: r.size for r in texts.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > whole).sort("label").collect()}
+    sent = texts.sparkSession.sparkContext.broadcast(tally(texts, list(large)))
+    half = max(1, whole // 2)
+    first, parts = {}, 0  # of each large label its first part behind those of the rest, and how many it has
+    for x, size in large.items():
+        first[x] = (parts, -(-size // half))
+        parts += first[x][1]
+
+    def keys(x: np.ndarray, rest: int, id_: int, label: int) -> np.ndarray:
+        """One word's h: of each pair of parts that the node is in."""
+        spot = int(mixed(np.array([id_], np.uint64))[0])
+        at, own = (first[label][0] + rest, first[label][1]) if label in first else (0, 0)
+        mine = at + spot % own if own else spot % rest
+        q = np.arange(rest + parts, dtype=np.uint64)
+        q = q[(q < at) | (q >= at + own)]
+        return mixed(mixed(x + np.minimum(q, np.uint64(mine))) * np.uint64(31) + np.maximum(q, np.uint64(mine)))
 
-    return of.mapInArrow(picks, "h long, id long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, rest = sent.value
+        for b in slices(batches, 1_000_000):
+            ids, labels, words = (b.column(c).to_pylist() for c in range(3))
+            out = []
+            for id_, label, t in zip(ids, labels, words, strict=True):
+                x = occurrences(t)
+                at = slots(x)
+                c = count[at]
+                o = np.lexsort((x, c))[: int((1 - SIMILARITY) * len(x) + 1e-9) + 1]
+                o = o[c[o] > 1]
+                hot = c[o] > whole
+                out.append(np.concatenate([x[o[~hot]], *(keys(x[i], -(-int(rest[at[i]]) // half), id_, label) for i in o[hot])]))
+            n, every = np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate(out).view(np.int64)
+            h = list(map(unpacked, words))
+            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in h], pa.int32()), pa.array(binned(h), pa.binary())], ["id", "label", "n", "bins"])
+            for i in range(0, len(n), 20_000):
+                some = rows.take(pa.array(n[i : i + 20_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(every[i : i + 20_000]), *some.columns], ["h", *some.schema.names])
+
+    return texts.select("id", "label", "words").mapInArrow(run, "h long, id long, label long, n int, bins binary")
 
 
 def classes(df: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -392,10 +469,10 @@ def _classes(df: DataFrame, bucket: int) -> DataFrame:
         forget(found)
     if members.limit(1).count():
         members = cut(members.select("id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
-        again = cut(rare_entries(members, words, bucket).join(members, "id"))
-        found = cut(within(again, words))
+        texts = cut(words.join(members, "id").select("id", "label", "words"))
+        found = cut(met(rare_entries(texts, bucket * (WHOLE // BUCKET))))
         edges, labels = linked(found)
-        forget(members, again, found)
+        forget(members, texts, found)
     forget(now, words)
     order = rank(F.col("doc_id"), F.col("_th"))
     full = nodes.join(one.select("node", "id"), "node").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")

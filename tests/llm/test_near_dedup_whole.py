@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from inkstone.llm import order_minhash as M
+from inkstone.llm.components import components
 
 
 def hashes(words):
@@ -136,3 +137,46 @@ def test_null_ids_are_not_one_class(spark):
     out = sorted((x.class_id, x.kept) for x in M.classes(d).collect())
     assert len({c for c, _ in out}) == 3 and out.count((5, True)) == 1 and out.count((5, False)) == 2
     assert M.deduped(d).count() == 3
+
+
+def test_pairs_of_a_large_bucket_without_a_rare_run_are_found(spark):
+    """Texts of one frame whose own words a near copy replaces, so that all runs that both have are those of many texts."""
+    r, texts = random.Random(12), []
+    for i in range(40):
+        w = [f"frame{j}" for j in range(60)] + ["own"] + [x for j in r.sample(range(30), 20) for x in (f"one{j}", f"two{j}", "own")]
+        texts.append([f"{x}{i}.{j}" if x == "own" else x for j, x in enumerate(w)])
+        if i % 8 == 0:
+            texts.append([f"{x}{i}-{j}" if x == "own" else x for j, x in enumerate(w)])
+    want = brute(texts)
+    assert len(set(want)) == 40
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [x.class_id for x in M.classes(docs, 8).orderBy("doc_id").collect()] == want
+
+
+def test_linked_nodes_share_an_entry_in_parts_too(spark):
+    """Every linked pair of different labels is found however few nodes a part holds; one label's are never paired."""
+    r = random.Random(13)
+    base = [str(r.randrange(60)) for _ in range(70)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randrange(22)):
+            w[r.randrange(len(w)) : r.randrange(len(w)) + 1] = [str(r.randrange(60))]
+        texts.append(w)
+    packed = [(hashes(w) >> np.uint64(32)).astype(np.uint32).tobytes() for w in texts]
+    labels = [0 if i % 2 else 1 if i % 4 else i for i in range(60)]
+    rows = spark.createDataFrame([(i, labels[i], bytearray(p)) for i, p in enumerate(packed)], "id long, label long, words binary")
+    want = {(i, j) for i in range(60) for j in range(i) if labels[i] != labels[j] and linked(texts[i], texts[j])}
+    assert want
+    for whole in (4096, 20, 6):
+        got = {(x.a, x.b) for x in M.met(M.rare_entries(rows, whole)).collect()}
+        assert want <= got and all(labels[a] != labels[b] for a, b in got)
+
+
+def test_components_alike_at_the_driver_and_in_rounds(spark):
+    r = random.Random(14)
+    pairs = [(i + 1, i) for i in range(30)] + [(100 + r.randrange(60), 100 + r.randrange(60)) for _ in range(40)] + [(300, 900), (900, 5000), (400, 5000)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    out = [sorted((x.node, x.label) for x in components(edges, few).collect()) for few in (0, 1000)]
+    assert out[0] == out[1] and (400, 300) in out[0] and (30, 0) in out[0]
+    assert not components(edges.limit(0)).count()
