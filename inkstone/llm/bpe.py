@@ -36,6 +36,8 @@ from inkstone.llm.common import ragged, slices, table
 
 #: Chunks remembered by one worker before it starts afresh; bounds its memory.
 CACHE = 200_000
+#: Bytes of texts taken at once: places of symbols and of decoded bytes take some fifty times as many.
+SLICE = 500_000
 #: White space by Unicode's property, which is what the vocabulary's normalizer collapses.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: str.split() also splits at these, the normalizer does not.
@@ -268,7 +270,7 @@ def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
         if key not in _MODELS:
             _MODELS[key] = WordBPE(*sent.value)
         bpe = _MODELS[key]
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             ids, n = bpe.encode([t or "" for t in b.column(1).to_pylist()])
             offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
