@@ -20,11 +20,13 @@ most common buckets, then with others unless links already join the two.  Copies
 are in one component by then.  Buckets that still hold several:
  - of up to ``BUCKET`` nodes, all pairs of different components are compared;
  - larger ones hold texts around one passage or frame.  Their nodes are dealt
-   anew, and exactly: of a text's n words a link leaves all but a fifth of the
-   longer, so linked texts share one of the n / 5 + 1 words that come first in any
-   fixed order of words (the n-th occurrence of a word is a word of its own).  The
-   order puts words first that few of these nodes have, by counts in ``SLOTS``
-   hash slots, so the new buckets are small where texts have words of their own.
+   anew, and exactly: of a text's pairs of neighbouring words a link leaves all but
+   two an edit, so linked texts share one of the 2 n / 5 + 1 pairs that come first in
+   any fixed order (the n-th occurrence of a pair is a pair of its own).  The
+   order puts pairs first that few of these nodes have, by counts in at most
+   2^``MOST_BITS`` hash slots, so the new buckets are small where texts have passages
+   of their own.  Pairs of over ``COMMON`` nodes are known by the two least of these
+   nodes in two seeded orders, so those of one frame are a few buckets and not one each.
    Nodes of one component are never compared; buckets of over ``WHOLE`` nodes are
    dealt in parts, and each pair of parts meets, but for those of one component.
 Pairs are passed on only if lengths and word histograms allow the similarity;
@@ -41,7 +43,7 @@ gives an empty one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -55,7 +57,7 @@ from inkstone.llm.components import components
 
 FEW_SKETCHES = 24
 K, FEW, LONG, SKETCHES, SHORT, ANCHOR, SIMILARITY, BUCKET, BINS = 5, 2, 50, 64, 14, 5, 0.8, 256, 256
-WHOLE, SLOTS, RUN = 4096, 1 << 18, 1024
+PAIR, WHOLE, COMMON, LEAST_BITS, MOST_BITS, RUNS, MOST_32 = 2, 4096, 64, 12, 21, 64, 0x7FFFFFFF
 CACHE, CHAINED = 400_000, 1_000
 _RNG = np.random.default_rng(9)
 MULTIPLY = _RNG.integers(1 << 32, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -336,47 +338,117 @@ def met(x: DataFrame) -> DataFrame:
 
 
 def occurrences(words: bytes) -> np.ndarray:
-    """Hashes of a text's words, those of later occurrences told apart: no two are equal."""
-    return labelled(kmers(unpacked(words), 1))
+    """Hashes of a text's runs of ``PAIR`` words, those of later occurrences told apart: no two are equal."""
+    return labelled(kmers(unpacked(words), PAIR))
 
 
-def slots(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def uint64(x: list[int]) -> np.ndarray:
+    return np.array(x, np.int64).view(np.uint64)
 
 
-def tally(texts: DataFrame, large: list[int]) -> np.ndarray:
-    """How many (label, words) rows have a word, by its slot: all of them, and those whose label is not in ``large``."""
+def slots(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def tally(rows: DataFrame, items: Callable, marks: Callable, bits: int, finish: Callable = lambda n: n) -> np.ndarray:
+    """By the slot of an item of ``items(x)`` of (id, label, x) rows: how many have it, the sum of the first of ``marks(id, label)``
+    and the least of each other; of these rows what ``finish`` makes of them.  All are numbers of 31 bits."""
+    size = 1 << bits
+    run_ = max(1, size // RUNS)
+
+    def empty(marked: int, n: int) -> np.ndarray:
+        return np.repeat(np.array([0, 0, *[MOST_32] * (marked - 1)], np.int32)[:, None], n, 1)
+
+    def add(n: np.ndarray, at: np.ndarray, x: list[np.ndarray]) -> None:
+        for i, v in enumerate(x):
+            (np.add if i < 2 else np.minimum).at(n[i], at, v.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, SLOTS), np.int64)
+        n = None
         for b in slices(batches, 1_000_000):
-            x, other = list(map(occurrences, b.column(1).to_pylist())), ~np.isin(b.column(0).to_numpy(), large)
-            for i, some in enumerate((x, [t for t, o in zip(x, other, strict=True) if o])):
-                n[i] += np.bincount(slots(np.concatenate(some)), minlength=SLOTS) if some else 0
-        n = n.reshape(-1, RUN)
-        at = np.flatnonzero(n.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([n[i].tobytes() for i in at], pa.binary())], ["at", "n"])
+            x, m = list(map(items, b.column(2).to_pylist())), marks(b.column(0).to_numpy(), b.column(1).to_numpy())
+            n = empty(len(m), size) if n is None else n
+            many, at = [len(t) for t in x], slots(np.concatenate(x), bits)
+            add(n, at, [np.ones(len(at), np.int32), *(np.repeat(v, many) for v in m)])
+        if n is not None:
+            at = np.flatnonzero(n[0])
+            ends = np.searchsorted(at, np.arange(0, size + run_, run_))
+            some = [(i, slice(*ends[i : i + 2])) for i in range(size // run_) if ends[i] < ends[i + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([np.vstack([at[s] % run_, n[:, at[s]]]).astype(np.int32).tobytes() for _, s in some], pa.binary()), pa.array([len(n)] * len(some), pa.int32())], ["at", "n", "k"])
 
     def added(t: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(x, np.int64) for x in t.column("n").to_pylist())
-        return pa.table({"at": t.column("at")[:1], "n": pa.array([n.tobytes()], pa.binary())})
-
-    kind, out = "at long, n binary", np.zeros((2 * SLOTS // RUN, RUN), np.int64)
-    got = texts.select("label", "words").mapInArrow(run, kind).groupBy("at").applyInArrow(added, kind).toArrow()  # 4 MB at most
+        k = t.column("k")[0].as_py()
+        n = empty(k - 1, run_)
+        for x in t.column("n").to_pylist():
+            x = np.frombuffer(x, np.int32).reshape(k + 1, -1)
+            add(n, x[0], list(x[1:]))
+        n = finish(n)
+        return pa.table({"at": t.column("at")[:1], "n": pa.array([n.astype(np.int32).tobytes()], pa.binary()), "k": pa.array([len(n)], pa.int32())})
+
+    kind = "at long, n binary, k int"
+    got = rows.mapInArrow(run, kind).groupBy("at").applyInArrow(added, kind).toArrow()  # 34 MB at most
+    out = np.zeros((max(got.column("k").to_pylist(), default=1), size), np.int32)
     for at, n in zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True):
-        out[at] = np.frombuffer(n, np.int64)
-    return out.reshape(2, SLOTS)
+        out[:, at * run_ : (at + 1) * run_] = np.frombuffer(n, np.int32).reshape(len(out), run_)
+    return out
+
 
+def seeded(ids: np.ndarray) -> list[np.ndarray]:
+    """Two orders of nodes."""
+    return [(mixed(mixed(ids.astype(np.uint64) * PLACES[i] + PLACES[i + 1])) >> np.uint64(34)).astype(np.int64) for i in range(2)]
 
-def rare_entries(texts: DataFrame, whole: int = WHOLE) -> DataFrame:
+
+def prefixes(texts: DataFrame, bits: int, common: int) -> DataFrame:
+    """(id, label, n, bins, keys): each node's keys; linked nodes of different labels have one in common.
+
+    A key stands for runs of words: by itself for one of up to ``common`` nodes, for others by the two least of the nodes that
+    have the run.  The runs of one frame are in the same texts, so they make a few keys and not one each.
+    """
+    found = tally(texts.select("id", "label", "words"), occurrences, lambda ids, _: [np.zeros(len(ids)), *seeded(ids)], bits)
+    sent = texts.sparkSession.sparkContext.broadcast(found[[0, 2, 3]] if len(found) == 4 else np.zeros((3, 1 << bits), np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, least, other = sent.value
+        for b in slices(batches, 1_000_000):
+            out, h = [], list(map(unpacked, b.column(2).to_pylist()))
+            for t in b.column(2).to_pylist():
+                x = occurrences(t)
+                at = slots(x, bits)
+                c = count[at]
+                # the longer of two texts may have a word more of which an edit more is allowed
+                o = np.lexsort((x, c))[: PAIR * int((1 - SIMILARITY) * (len(t) // 4 + 1) + 1e-9) + 1]
+                o = o[c[o] > 1]
+                few, many = o[c[o] <= common], at[o[c[o] > common]]
+                out.append(np.unique(np.concatenate([x[few], mixed(mixed(mixed(least[many].astype(np.uint64)) * np.uint64(31) + other[many].astype(np.uint64)))])))
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in h], pa.int32()), pa.array(binned(h), pa.binary()), keys], ["id", "label", "n", "bins", "keys"])
+
+    return texts.select("id", "label", "words").mapInArrow(run, "id long, label long, n int, bins binary, keys array<long>")
+
+
+def rare_entries(texts: DataFrame, whole: int = WHOLE, common: int = COMMON) -> DataFrame:
     """(h, id, label, n, bins) of (id, label, words) rows: linked nodes of different labels have an h in common.
 
-    A node has an entry for each of its first words in the order of rarity.  A word of over ``whole`` nodes is dealt in
+    A node has an entry for each of its keys that nodes of another label have too.  A key of over ``whole`` nodes is dealt in
     parts of half as many: labels of over ``whole`` nodes by themselves, the rest together; an entry goes to every pair
     of parts with its own, but for those of one such label.
     """
     large = {r.label: r.size for r in texts.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > whole).sort("label").collect()}
-    sent = texts.sparkSession.sparkContext.broadcast(tally(texts, list(large)))
+    total = texts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    bits = max(LEAST_BITS, min(MOST_BITS, (total // 4).bit_length()))
+    dealt = cut(prefixes(texts, bits, common))
+    every = list(large)
+
+    def labels(_, label: np.ndarray) -> list[np.ndarray]:
+        low, high = label & MOST_32, label >> 31
+        return [~np.isin(label, every), low, -low, high, -high]
+
+    def several(n: np.ndarray) -> np.ndarray:
+        """Counts, 0 where one label has the slot for itself, and counts without large labels."""
+        return np.stack([np.where((n[2] == -n[3]) & (n[4] == -n[5]), 0, n[0]), n[1]])
+
+    counts = tally(dealt.select("id", "label", "keys"), uint64, labels, bits, several)
+    sent = texts.sparkSession.sparkContext.broadcast(counts if len(counts) == 2 else np.zeros((2, 1 << bits), np.int32))
     half = max(1, whole // 2)
     first, parts = {}, 0  # of each large label its first part behind those of the rest, and how many it has
     for x, size in large.items():
@@ -384,7 +456,7 @@ def rare_entries(texts: DataFrame, whole: int = WHOLE) -> DataFrame:
         parts += first[x][1]
 
     def keys(x: np.ndarray, rest: int, id_: int, label: int) -> np.ndarray:
-        """One word's h: of each pair of parts that the node is in."""
+        """One key's h: of each pair of parts that the node is in."""
         spot = int(mixed(np.array([id_], np.uint64))[0])
         at, own = (first[label][0] + rest, first[label][1]) if label in first else (0, 0)
         mine = at + spot % own if own else spot % rest
@@ -395,24 +467,19 @@ def rare_entries(texts: DataFrame, whole: int = WHOLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, rest = sent.value
         for b in slices(batches, 1_000_000):
-            ids, labels, words = (b.column(c).to_pylist() for c in range(3))
             out = []
-            for id_, label, t in zip(ids, labels, words, strict=True):
-                x = occurrences(t)
-                at = slots(x)
-                c = count[at]
-                o = np.lexsort((x, c))[: int((1 - SIMILARITY) * len(x) + 1e-9) + 1]
-                o = o[c[o] > 1]
-                hot = c[o] > whole
-                out.append(np.concatenate([x[o[~hot]], *(keys(x[i], -(-int(rest[at[i]]) // half), id_, label) for i in o[hot])]))
+            for id_, label, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 4)), strict=True):
+                x = uint64(x)
+                at = slots(x, bits)
+                hot = count[at] > whole
+                out.append(np.concatenate([x[~hot & (count[at] > 1)], *(keys(y, -(-int(rest[i]) // half), id_, label) for y, i in zip(x[hot], at[hot], strict=True))]))
             n, every = np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate(out).view(np.int64)
-            h = list(map(unpacked, words))
-            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in h], pa.int32()), pa.array(binned(h), pa.binary())], ["id", "label", "n", "bins"])
+            rows = b.select(["id", "label", "n", "bins"])
             for i in range(0, len(n), 20_000):
                 some = rows.take(pa.array(n[i : i + 20_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(every[i : i + 20_000]), *some.columns], ["h", *some.schema.names])
 
-    return texts.select("id", "label", "words").mapInArrow(run, "h long, id long, label long, n int, bins binary")
+    return dealt.mapInArrow(run, "h long, id long, label long, n int, bins binary")
 
 
 def classes(df: DataFrame, bucket: int = BUCKET) -> DataFrame:

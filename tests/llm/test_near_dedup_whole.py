@@ -180,3 +180,44 @@ def test_components_alike_at_the_driver_and_in_rounds(spark):
     out = [sorted((x.node, x.label) for x in components(edges, few).collect()) for few in (0, 1000)]
     assert out[0] == out[1] and (400, 300) in out[0] and (30, 0) in out[0]
     assert not components(edges.limit(0)).count()
+
+
+def test_words_of_one_frame_make_few_entries(spark):
+    """Texts of one long frame that are not linked: entries must not grow with the frame, and linked pairs all have one."""
+    r, texts = random.Random(15), []
+    frame = [f"frame{j}" for j in range(300)]
+    for i in range(120):
+        w = [x if r.random() < 0.98 else f"own{i}x{j}" for j, x in enumerate(frame)]
+        r.shuffle(w)
+        texts.append(w)
+        if i % 10 == 0:
+            texts.append([x if r.random() < 0.95 else f"new{i}x{j}" for j, x in enumerate(w)])
+    packed = [(hashes(w) >> np.uint64(32)).astype(np.uint32).tobytes() for w in texts]
+    rows = spark.createDataFrame([(i, i, bytearray(p)) for i, p in enumerate(packed)], "id long, label long, words binary")
+    entries = M.rare_entries(rows).cache()
+    assert entries.count() < 20 * len(texts)
+    want = {(i, i - 1) for i in range(len(texts)) for w in texts[i] if w.startswith("new")}
+    assert len(want) == 12 and all(linked(texts[a], texts[b]) for a, b in want)
+    assert want <= {(x.a, x.b) for x in M.met(entries).collect()}
+    for whole, common in ((4096, 4), (20, 4), (20, 64)):
+        assert want <= {(x.a, x.b) for x in M.met(M.rare_entries(rows, whole, common)).collect()}
+
+
+def test_linked_texts_of_other_lengths_share_an_entry(spark):
+    """The longer text of a pair may be allowed an edit more than the shorter."""
+    r, texts = random.Random(16), []
+    for i in range(25):
+        w = [str(r.randrange(30)) for _ in range(r.randrange(4, 26))]
+        texts.append(w)
+        for _ in range(3):
+            x = list(w)
+            for _ in range(1 + len(w) // 5):
+                k = r.randrange(len(x) + 1)
+                x[k : k + r.randrange(2)] = [str(r.randrange(30))] * r.randrange(2)
+            texts.append(x or ["0"])
+    packed = [(hashes(w) >> np.uint64(32)).astype(np.uint32).tobytes() for w in texts]
+    rows = spark.createDataFrame([(i, i, bytearray(p)) for i, p in enumerate(packed)], "id long, label long, words binary")
+    want = {(i, j) for i in range(100) for j in range(i) if texts[i] != texts[j] and linked(texts[i], texts[j])}
+    assert any(len(texts[i]) != len(texts[j]) for i, j in want)
+    for whole, common in ((4096, 64), (10, 3)):
+        assert want <= {(x.a, x.b) for x in M.met(M.rare_entries(rows, whole, common)).collect()}
