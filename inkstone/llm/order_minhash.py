@@ -27,7 +27,7 @@ are in one component by then.  Buckets that still hold several:
    2^``MOST_BITS`` hash slots, so the new buckets are small where texts have passages
    of their own.  Pairs of over ``COMMON`` nodes are known by the two least of these
    nodes in two seeded orders, so those of one frame are a few buckets and not one each.
-   Nodes of one component are never compared; buckets of over ``WHOLE`` nodes are
+   Nodes of one component are never compared; buckets of over ``BUCKET`` nodes are
    dealt in parts, and each pair of parts meets, but for those of one component.
 Pairs are passed on only if lengths and word histograms allow the similarity;
 both are bounds that no linked pair misses.
@@ -57,7 +57,7 @@ from inkstone.llm.components import components
 
 FEW_SKETCHES = 24
 K, FEW, LONG, SKETCHES, SHORT, ANCHOR, SIMILARITY, BUCKET, BINS = 5, 2, 50, 64, 14, 5, 0.8, 256, 256
-PAIR, WHOLE, COMMON, LEAST_BITS, MOST_BITS, RUNS, MOST_32 = 2, 4096, 64, 12, 21, 64, 0x7FFFFFFF
+PAIR, COMMON, LEAST_BITS, MOST_BITS, RUNS, MOST_32 = 2, 64, 12, 21, 64, 0x7FFFFFFF
 CACHE, CHAINED = 400_000, 1_000
 _RNG = np.random.default_rng(9)
 MULTIPLY = _RNG.integers(1 << 32, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -305,8 +305,9 @@ def within(entries: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def met(x: DataFrame) -> DataFrame:
-    """As ``within``, of (h, id, label, n, bins) rows."""
-    groups = x.groupBy("h").agg(F.collect_list(F.struct("id", "label", "n", "bins")).alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+    """As ``within``, of (h, id, label, n, bins) rows; where these hold words too, only the pairs that are similar."""
+    held = [c for c in ("id", "label", "n", "bins", "words") if c in x.columns]
+    groups = x.groupBy("h").agg(F.collect_list(F.struct(*held)).alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
 
     def packed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
@@ -325,6 +326,10 @@ def met(x: DataFrame) -> DataFrame:
                 id_, label = (m.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
                 bins = np.frombuffer(b"".join(m.field("bins").to_pylist()), np.uint8).reshape(len(id_), -1)
                 i, j = possible(m.field("n").to_numpy(zero_copy_only=False), bins, label)
+                if "words" in held:
+                    t = list(map(unpacked, m.field("words").to_pylist()))
+                    keep = np.array([similar(t[p], t[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[keep], j[keep]
                 pairs.append((np.maximum(id_[i], id_[j]), np.minimum(id_[i], id_[j])))
                 size += len(i)
                 if size > 500_000:
@@ -399,7 +404,7 @@ def seeded(ids: np.ndarray) -> list[np.ndarray]:
 
 
 def prefixes(texts: DataFrame, bits: int, common: int) -> DataFrame:
-    """(id, label, n, bins, keys): each node's keys; linked nodes of different labels have one in common.
+    """(id, label, n, bins, words, keys): each node's keys; linked nodes of different labels have one in common.
 
     A key stands for runs of words: by itself for one of up to ``common`` nodes, for others by the two least of the nodes that
     have the run.  The runs of one frame are in the same texts, so they make a few keys and not one each.
@@ -421,13 +426,13 @@ def prefixes(texts: DataFrame, bits: int, common: int) -> DataFrame:
                 few, many = o[c[o] <= common], at[o[c[o] > common]]
                 out.append(np.unique(np.concatenate([x[few], mixed(mixed(mixed(least[many].astype(np.uint64)) * np.uint64(31) + other[many].astype(np.uint64)))])))
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in h], pa.int32()), pa.array(binned(h), pa.binary()), keys], ["id", "label", "n", "bins", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in h], pa.int32()), pa.array(binned(h), pa.binary()), b.column(2), keys], ["id", "label", "n", "bins", "words", "keys"])
 
-    return texts.select("id", "label", "words").mapInArrow(run, "id long, label long, n int, bins binary, keys array<long>")
+    return texts.select("id", "label", "words").mapInArrow(run, "id long, label long, n int, bins binary, words binary, keys array<long>")
 
 
-def rare_entries(texts: DataFrame, whole: int = WHOLE, common: int = COMMON) -> DataFrame:
-    """(h, id, label, n, bins) of (id, label, words) rows: linked nodes of different labels have an h in common.
+def rare_entries(texts: DataFrame, whole: int = BUCKET, common: int = COMMON) -> DataFrame:
+    """(h, id, label, n, bins, words) of (id, label, words) rows: linked nodes of different labels have an h in common.
 
     A node has an entry for each of its keys that nodes of another label have too.  A key of over ``whole`` nodes is dealt in
     parts of half as many: labels of over ``whole`` nodes by themselves, the rest together; an entry goes to every pair
@@ -468,18 +473,18 @@ def rare_entries(texts: DataFrame, whole: int = WHOLE, common: int = COMMON) ->
         count, rest = sent.value
         for b in slices(batches, 1_000_000):
             out = []
-            for id_, label, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 4)), strict=True):
+            for id_, label, x in zip(*(b.column(c).to_pylist() for c in (0, 1, 5)), strict=True):
                 x = uint64(x)
                 at = slots(x, bits)
                 hot = count[at] > whole
                 out.append(np.concatenate([x[~hot & (count[at] > 1)], *(keys(y, -(-int(rest[i]) // half), id_, label) for y, i in zip(x[hot], at[hot], strict=True))]))
             n, every = np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate(out).view(np.int64)
-            rows = b.select(["id", "label", "n", "bins"])
-            for i in range(0, len(n), 20_000):
-                some = rows.take(pa.array(n[i : i + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(every[i : i + 20_000]), *some.columns], ["h", *some.schema.names])
+            rows = b.select(["id", "label", "n", "bins", "words"])
+            for i in range(0, len(n), 2_000):
+                some = rows.take(pa.array(n[i : i + 2_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(every[i : i + 2_000]), *some.columns], ["h", *some.schema.names])
 
-    return dealt.mapInArrow(run, "h long, id long, label long, n int, bins binary")
+    return dealt.mapInArrow(run, "h long, id long, label long, n int, bins binary, words binary")
 
 
 def classes(df: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -537,7 +542,7 @@ def _classes(df: DataFrame, bucket: int) -> DataFrame:
     if members.limit(1).count():
         members = cut(members.select("id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
         texts = cut(words.join(members, "id").select("id", "label", "words"))
-        found = cut(met(rare_entries(texts, bucket * (WHOLE // BUCKET))))
+        found = cut(met(rare_entries(texts, bucket)))  # similar already: pairs of one frame are many, links few
         edges, labels = linked(found)
         forget(members, texts, found)
     forget(now, words)
