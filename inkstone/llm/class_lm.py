@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkstone.llm.common import Ids, cut, forget, ready, slices, stored, table, texts_of
 
@@ -275,6 +276,7 @@ class ClassModel:
     below: np.ndarray  # log10 of each class's emission denominator
     n: int
     v: int
+    end: int  # class of the end
 
 
 def frequent(words: DataFrame, n: int) -> Units:
@@ -283,19 +285,50 @@ def frequent(words: DataFrame, n: int) -> Units:
     return Units({bytes(r.word): i for i, r in enumerate(rows)} or {END: 0}, np.array([r.c for r in rows] or [0]))
 
 
-def moved_transitions(docs: DataFrame, known: DataFrame, lumps: np.ndarray, classes: int) -> np.ndarray:
-    """[class, class] over all training tokens, by the words' own classes."""
+def coded(docs: DataFrame, known: DataFrame, lumps: np.ndarray, n: int, v: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, emitted, codes: what needs no transitions of classes, and the classes of
+    a document's tokens, one byte each, so that its text is read once more and not twice."""
     sent = docs.sparkSession.sparkContext.broadcast(lumps)
 
-    def count(docs_: pa.Table, words: pa.Table) -> pa.Table:
-        ids, _, k = looked_up(words, sent.value)
-        x = numbered(texts_of(docs_.column("text").combine_chunks()), ids) if docs_.num_rows else np.empty(0, np.int64)
-        u = k[x]
-        n = np.bincount(u[:-1] * classes + u[1:], minlength=classes * classes)
+    def run(docs_: pa.Table, words: pa.Table) -> pa.Table:
+        if not (rows := docs_.num_rows):
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
+        ids, c, k = looked_up(words, sent.value)
+        x = numbered(texts_of(docs_.column("text").combine_chunks()), ids)
+        ends = np.flatnonzero(x == ids[END])
+        starts, size = ends[:-1] + 1, np.diff(ends)
+        total = lambda a: np.add.reduceat(a, starts)
+        emitted = total(np.log10(c + 0.5)[x])
+        base = emitted - np.log10(n + 0.5 * (v + 1)) * size
+        at = np.r_[0, np.cumsum(size)].astype(np.int64)
+        codes = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(k.astype(np.uint8)[x[1:]].tobytes())]).cast(pa.binary())
+        held_out = [not t for t in docs_.column("train").to_pylist()]
+        return pa.table({"doc_id": docs_.column("doc_id"), "held_out": pa.array(held_out, pa.bool_()), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(total((c > 0)[x].astype(np.int64)), pa.int64()), "base_score": pa.array(base, pa.float64()), "emitted": pa.array(emitted, pa.float64()), "codes": codes})
+
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emitted", "codes"]
+    kinds = [to_arrow_type(docs.schema["doc_id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    return docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, codes binary")
+
+
+def bytes_of(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a column of documents' tokens in a row, and how many each has."""
+    x = codes.to_pylist()
+    return np.frombuffer(b"".join(x), np.uint8).astype(np.int64), np.array([len(t) for t in x], np.int64)
+
+
+def moved_transitions(docs: DataFrame, end: int, classes: int) -> np.ndarray:
+    """[class, class] over all training tokens of what ``coded`` gives; ``end`` is the class of the end, that before a text too."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(classes * classes, np.int64)
+        for b in slices(batches):
+            u, _ = bytes_of(b.column(0))
+            n += np.bincount(np.r_[end, u[:-1]] * classes + u, minlength=len(n))  # a text's last is its end
         at = np.flatnonzero(n)
-        return pa.table({"k": pa.array(at), "n": pa.array(n[at])})
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["k", "n"])
 
-    rows = docs.where("train").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = docs.where("not held_out").select("codes").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(classes * classes)
     for r in rows:
         out[r.k] = r.n
@@ -315,6 +348,11 @@ def looked_up(words: pa.Table, lumps: np.ndarray) -> tuple[Ids, np.ndarray, np.n
 def train(docs: DataFrame, classes: int | None = None, turns: int = TURNS) -> tuple[ClassModel, DataFrame]:
     """The model, and (block, word, c, class): of every block its words with count in all training documents and class.
     ``docs`` is what ``dealt`` gives."""
+    return learned(docs, classes, turns)[:2]
+
+
+def learned(docs: DataFrame, classes: int | None = None, turns: int = TURNS) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """As ``train``, and what ``coded`` gives for ``docs``."""
     sc = ready(docs.sparkSession).sparkContext
     words = stored(block_words(docs))
     vocab = cut(words.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")))
@@ -333,38 +371,40 @@ def train(docs: DataFrame, classes: int | None = None, turns: int = TURNS) -> tu
     known = stored(words.select("block", "word").join(of, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "class"))
     forget(words, vocab, of)
     lumps = assign[len(units.words) :]
-    m = moved_transitions(docs, known, lumps, classes)
+    every = stored(coded(docs, known, lumps, int(n), int(v)))
+    end = int(assign[units.words[END]] if n else lumps[ending(END)])
+    m = moved_transitions(every, end, classes)
     prior = (own + 0.5) / (own.sum() + 0.5 * classes)
     step = np.log10((m + PRIOR * prior[None, :]) / (m.sum(1) + PRIOR)[:, None])
-    return ClassModel(lumps, step, np.log10(own + 0.5 * (types + 1)), int(n), int(v)), known
+    return ClassModel(lumps, step, np.log10(own + 0.5 * (types + 1)), int(n), int(v), end), known, every
 
 
 def scored(docs: DataFrame, model: ClassModel, known: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """``summed`` of ``docs`` by what ``train`` gives."""
+    return summed(coded(docs, known, model.lumps, model.n, model.v), model)
+
+
+def summed(docs: DataFrame, model: ClassModel) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of what ``coded`` gives."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(docs_: pa.Table, words: pa.Table) -> pa.Table:
-        m, n = sent.value, docs_.num_rows
-        ids, c, k = looked_up(words, m.lumps)
-        x = numbered(texts_of(docs_.column("text").combine_chunks()), ids) if n else np.empty(0, np.int64)
-        ends = np.flatnonzero(x == ids[END])
-        starts = ends[:-1] + 1 if n else ends
-        lc, u = np.log10(c + 0.5)[x], k[x]
-        inner = np.r_[0.0, m.step[u[:-1], u[1:]] - m.below[u[1:]]] if n else lc
-        total = lambda a: np.add.reduceat(a, starts) if n else a
-        size = np.diff(ends) if n else ends
-        emitted = total(lc)
-        base = emitted - np.log10(m.n + 0.5 * (m.v + 1)) * size
-        return pa.table({"doc_id": docs_.column("doc_id"), "held_out": pa.array([not t for t in docs_.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(total((c > 0)[x].astype(np.int64)), pa.int64()), "train_tokens": pa.array([m.n] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(emitted + total(inner), pa.float64())})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in slices(batches):
+            u, size = bytes_of(b.column(6))
+            inner = m.step[np.r_[m.end, u[:-1]], u] - m.below[u]
+            total = b.column(5).to_numpy() + np.add.reduceat(inner, np.cumsum(size) - size)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([m.n] * len(size), pa.int64()), b.column(4), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def class_scores(docs: DataFrame, classes: int | None = None, block: int = BLOCK) -> DataFrame:
     """Scores of (doc_id, text, train) rows by a model of the training ones."""
-    docs = dealt(docs, block)
-    return scored(docs, *train(docs, classes))
+    model, known, every = learned(dealt(docs, block), classes)
+    forget(known)
+    return summed(every, model)
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

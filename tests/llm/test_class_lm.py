@@ -109,3 +109,14 @@ def test_nothing_and_no_training(docs):
     assert M.class_scores(docs.limit(0)).count() == 0
     out = M.class_scores(docs.where("not train")).collect()
     assert out and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in out)
+
+
+def test_texts_are_read_once_for_transitions_and_scores(docs):
+    """Scores come from the stored classes of tokens: the plan that gives them deals out and reads no text."""
+    out = M.class_scores(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "codes" in plan and "CoGroup" not in plan and "Exchange" not in plan
+    d = M.dealt(docs).cache()
+    model, known = M.train(d)
+    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8))
+    assert sorted(map(key, out.collect())) == sorted(map(key, M.scored(d, model, known).collect()))
